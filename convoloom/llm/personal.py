@@ -24,9 +24,9 @@ from convoloom.session import settle, table
 KINDS = ("email", "phone", "id_number", "address", "name")
 SPANS = "tbl string, row_id bigint, field string, kind string, start_pos int, end_pos int, form string, votes string"
 
-AT = r"(?:@|\s@\s|\s?\[at\]\s?|\s?\(at\)\s?)"
+AT = r"(?:@|%40|\s@\s|\s?\[at\]\s?|\s?\(at\)\s?)"
 DOT = r"(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?)"
-LOCAL = r"[^\W_](?:[\w.+%\-]*[\w+%\-])?"
+LOCAL = r"[^\W_](?:[\w.+\-]*[\w+\-])?"
 LABEL = r"[^\W_](?:[\w\-]*[^\W_])?"
 PATTERNS = {
     "email": [("email", re.compile(rf"(?<![\w.+/@\-])({LOCAL}){AT}({LABEL}(?:{DOT}{LABEL})+)(?![\w@])"))],
@@ -64,9 +64,9 @@ CUES = {
     "address": (r"(?:address[: ]+|lieferadresse ist |device to |moved to |vive en |delivery to |seed row says |, |wohnt in |habite au |mora na |\n)$", r"^(?:;? is that| desde| last month|, sent|\.|$|\n)", r"(?:chapter |block |section |page |step |line |version )$"),
     "name": (r"(?:hi, this is |hello |ask |talked to |fala com |prévenir |@author |cc:? |name:? |name\": \"|reviewed-by: |signed-off-by: |author: |author=\"|assignee = \"|opened by |frau |herr |dr\.? |mr\.? |mrs\.? |ms\.? |todo\(|it is |customer row: |patient |letter to |page of |notes: |\| |7, '|dear |señora? |sra?\. |von |by |-- \n)$", r"^(?:'s |’s | about the| this morning|, thanks| sobre o| avant midi| signed the| hat den| who owns| \(id |\): ask| <|;|\",? |', '| \||, not by| / |, (?:\d|flat|apt|rua|calle))", r"(?:\bthe |`|/|\\|_|@|#|\$)$"),
 }
-CUES = {k: tuple(re.compile(x) for x in v) for k, v in CUES.items()}
+CUES = {k: (re.compile(a[:-1] + r"\Z"), re.compile(b), re.compile(c[:-1] + r"\Z")) for k, (a, b, c) in CUES.items()}
 #: What follows names of products and places.
-PRODUCT = re.compile(r"^[\w .'’\-]{0,24}?(?: (?:owns that|upgrade|channel|view|import|release|module|service|parser|gateway|queue|cache|store|index|sync|mode|runner|metrics|api|sdk|library|framework|board)\b)", re.I)
+PRODUCT = re.compile(r"(?: [A-Z][\w\-]+)? (?:owns that|upgrade|channel|view is|import\.|release|module|service|parser|gateway|queue|cache|store|index|sync|mode|runner|metrics|api|sdk|library|framework|board)\b")
 INITIAL = re.compile(r"[^\W\d_]\.")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?(?:-[^\W\d_]+(?:['’][^\W\d_]+)?)*")
 PARTICLES = ("van der ", "van den ", "von der ", "de la ", "van ", "von ", "de ", "da ", "do ", "dos ", "del ", "di ", "du ", "der ", "ten ")
@@ -149,12 +149,10 @@ def name_spans(text: str, gazetteer: Gazetteer) -> list[tuple[int, int, str, int
             gap = text[end:s2]
             if text[end - 2 : end] in ("'s", "’s"):
                 break
-            if gap == " " or re.fullmatch(r" [^\W\d_]\. ", gap) or gap.lower() in tuple(" " + p for p in PARTICLES):
+            if gap == " " or re.fullmatch(r" [^\W\d_]\. (?:van |von |de |da |del )?", gap) or gap.lower() in tuple(" " + p for p in PARTICLES):
                 form += ("i" if "." in gap else "") + ("f" if f2 and (len(gap) > 1 and "." not in gap or not g2 or g2 < f2 or form.endswith("g") and f2) else "g")
             elif gap == ", " and set(form) == {"f"} and g2 and (g2 >= f2 or not f2):
                 form += "cg"
-            elif re.fullmatch(r", (?:van|von|de|da|del) ", gap.lower()) and False:
-                break
             else:
                 break
             strength, end, n = min(strength, max(g2, f2)), e2, n + 1
@@ -182,7 +180,7 @@ def find_spans(text: str, gazetteer: Gazetteer) -> list[tuple[str, int, int, str
     def free(a, b):
         return all(b <= x or a >= y for x, y in taken)
 
-    has_at = "@" in text or "[at]" in text or "(at)" in text
+    has_at = "@" in text or "%40" in text or "[at]" in text or "(at)" in text
     has_digit = any(c in text for c in "0123456789")
     if has_at:
         for form, p in PATTERNS["email"]:
@@ -194,7 +192,7 @@ def find_spans(text: str, gazetteer: Gazetteer) -> list[tuple[str, int, int, str
                 words = re.findall(r"[^\W\d_]+", local)
                 listed = any(max(gazetteer.look(w)) for w in words) or any(max(gazetteer.look(w[1:])) for w in words if len(w) > 4)
                 shape = -1 if scp or local.lower() in ("git", "svn", "hg", "root", "npm", "noreply", "no-reply") else 1
-                plain = "@" in m.group() and " @ " not in m.group()
+                plain = re.search(r"\S@\S", m.group()) is not None
                 out.append(("email", a, b, "plain" if plain else "spelt", (1 if real else -1, 1 if listed else 0, _cue("email", text, a, b), shape)))
                 taken.append((a, b))
     if has_digit:
