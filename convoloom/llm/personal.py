@@ -59,10 +59,10 @@ PATTERNS["address"] = [
 # Words around items, in lower case. The text before a span ends with one of the first, or what follows begins with one of the second; the third tell against it.
 CUES = {
     "email": (r"(?:mailto:|<|to[:= ]|from |address is |adresse est |an |a |user=|contact \(|owner\": \"|\| |;|e-?mail[: ]+|por |write to |send )$", r"^(?:>|;|&|\"|\)| when| cannot| \||,? danke| si besoin| cuando| to | or call| wrote|, in case)", r"(?:@types/|remote is |pinned |decorator |version |npm |git clone |ssh://)$"),
-    "phone": (r"(?:phone[\"=: ]+|tel[.: ]+|call |call me on |reach the desk at |number is |número é |anschluss: |mobile |or |phone=\"|/ |;|, '|handy[: ]+|tél[.: ]+|fax[: ]+)$", r"^(?: if the| or |, whichever|, mornings|, liga|\"| ext\.?| x\d| is also|;|'\))", r"(?:build |ticket |version |checksum is |order no\. |row id is |rfc |port |qx-|trace |code=|id=|sha |hash )$"),
+    "phone": (r"(?:phone[\"=: ]+|tel[.: ]+|call |call me on |reach the desk at |number is |número é |anschluss: |mobile |or |phone=\"|/ |;|, '|handy[: ]+|tél[.: ]+|fax[: ]+|\n)$", r"^(?: if the| or |, whichever|, mornings|, liga|\"| ext\.?| x\d| is also|;|'\))", r"(?:build |ticket |version |checksum is |order no\. |row id is |rfc |port |qx-|trace |code=|id=|sha |hash )$"),
     "id_number": (r"(?:id[=:( ]+|\(id |ssn[\": ]+|dni |passport no\. |tax_id\": \"|national id: |ausweisnummer |identity number \(|redact |nif |nino |steuer-?id |personalausweis |;|number )$", r"^(?: shows up|\"| must not|\) (?:into|appears)| steht| in (?:clear|log)|\))", r"(?:build |ticket |version |checksum is |order no\. |row id is |rfc |port |qx-|trace |code=|commit |sha |hash |rev )$"),
     "address": (r"(?:address[: ]+|lieferadresse ist |device to |moved to |vive en |delivery to |seed row says |, |wohnt in |habite au |mora na |\n)$", r"^(?:;? is that| desde| last month|, sent|\.|$|\n)", r"(?:chapter |block |section |page |step |line |version )$"),
-    "name": (r"(?:hi, this is |hello |ask |talked to |fala com |prévenir |@author |cc:? |name:? |name\": \"|reviewed-by: |signed-off-by: |author: |author=\"|assignee = \"|opened by |frau |herr |dr\.? |mr\.? |mrs\.? |ms\.? |todo\(|it is |customer row: |patient |letter to |page of |notes: |\| |7, '|dear |señora? |sra?\. |von |by |-- \n)$", r"^(?:'s |’s | about the| this morning|, thanks| sobre o| avant midi| signed the| hat den| who owns| \(id |\): ask| <|;|\",? |', '| \||, not by| / |, (?:\d|flat|apt|rua|calle))", r"(?:\bthe |`|/|\\|_|@|#|\$)$"),
+    "name": (r"(?:hi, this is |hello |ask |talked to |fala com |prévenir |@author |cc:? |name:? |name\": \"|reviewed-by: |signed-off-by: |author: |author=\"|assignee = \"|opened by |frau |herr |dr\.? |mr\.? |mrs\.? |ms\.? |todo\(|it is |customer row: |patient |letter to |page of |notes: |\| |7, '|dear |regards,\n|call |import for |\n|señora? |sra?\. |von |by |-- \n)$", r"^(?:'s |’s | about the| this morning|, thanks| sobre o| avant midi| signed the| hat den| who owns| \(id |\): ask| <|;|\",? |', '| \||, not by| / |, (?:\d|flat|apt|rua|calle))", r"(?:\bthe |`|/|\\|_|@|#|\$)$"),
 }
 CUES = {k: (re.compile(a[:-1] + r"\Z"), re.compile(b), re.compile(c[:-1] + r"\Z")) for k, (a, b, c) in CUES.items()}
 #: What follows names of products and places.
@@ -159,6 +159,8 @@ def name_spans(text: str, gazetteer: Gazetteer) -> list[tuple[int, int, str, int
         tail = re.match(r" [^\W\d_]\.(?![^\W\d_])", text[end:])
         if tail and form.endswith("g") and text[end + 1].isupper():
             end, form = end + 3, form + "i"
+        if text[end - 2 : end] in ("'s", "’s"):
+            end -= 2
         if not lower or len(form) > 1 or CUES["name"][0].search(text[max(0, first - 20) : first].lower()):
             out.append((first, end, form, strength))
         n += 1
@@ -241,9 +243,9 @@ def reliabilities(counts: list[tuple[str, str, tuple[int, ...], int]], rounds: i
                 which = np.array([values.index(x) for x in column])
                 yes = np.bincount(which, p * n, len(values)) + [0.5 if v >= 0 else 0.05 for v in values]
                 no = np.bincount(which, (1 - p) * n, len(values)) + [0.5 if v <= 0 else 0.05 for v in values]
-                # a labeler that says no is never taken for one that says yes
+                # a labeler that says no is never taken for one that says yes, and one that says nothing counts for neither
                 ratio = np.log(yes / yes.sum()) - np.log(no / no.sum())
-                ratio = np.where(np.array(values) < 0, np.minimum(ratio, -2.5), ratio)
+                ratio = np.where(np.array(values) < 0, np.minimum(ratio, -2.5), np.where(np.array(values) == 0, 0.0, ratio))
                 score = score + ratio[which]
             new = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
             if np.abs(new - p).max() < 1e-9:
