@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from convoloom.operators import nested, schema_drift, time_queries
-
-QUERIES = {
-    "p1_found": schema_drift.p1_found,
-    "p1_unified": schema_drift.p1_unified,
-    "p3_found": time_queries.p3_found,
-    "p3_mixture": time_queries.p3_mixture,
-    "p6_found": nested.p6_found,
-    "p6_parts": nested.p6_parts,
-    "p6_lines": nested.p6_lines,
-}
-SQL: dict[str, str] = {}
+import importlib
+
+from convoloom.plans import sql_messages
+
+#: Modules whose functions named qNN_ or pN_ are queries.
+MODULES = ("schema_drift", "time_queries", "nested", "messages", "listing", "search")
+
+
+def _collect() -> dict:
+    out = {}
+    for name in MODULES:
+        module = importlib.import_module(f"convoloom.operators.{name}")
+        for k, f in vars(module).items():
+            head = k.split("_", 1)[0]
+            if callable(f) and head[:1] in "pq" and head[1:].isdigit() and f.__module__ == module.__name__:
+                out[k] = f
+    return dict(sorted(out.items(), key=lambda kv: (kv[0][0], int(kv[0].split("_")[0][1:]), kv[0])))
+
+
+QUERIES = _collect()
+SQL: dict[str, str] = {**sql_messages.SQL}
