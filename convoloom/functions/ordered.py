@@ -72,3 +72,14 @@ def place_in_key(df: DataFrame, key: str, order: list[str], name: str = "place",
     counts = counts.select(F.col(key).alias("__k"), F.col("__piece").alias("__q"), "__first", before.alias("__before"))
     got = got.join(counts, (F.col(key).eqNullSafe(F.col("__k"))) & (F.col("__piece") == F.col("__q")))
     return got.withColumn(name, F.col("__before") + F.col("__g") - F.col("__first") + 1).drop("__piece", "__g", "__k", "__q", "__first", "__before")
+
+
+def running_sum(df: DataFrame, order: list[str], value: str, name: str = "total", what: str = "running") -> DataFrame:
+    """df with the sum of value up to and with each row in a global order: sums inside pieces behind the sums of the pieces before."""
+    got = pieces_of(df, order, what)
+    sums = got.groupBy("__piece").agg(F.sum(value).alias("__s"))
+    # one row for each piece: as many as the session has shuffle partitions
+    before = F.coalesce(F.sum("__s").over(Window.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    got = got.join(F.broadcast(sums.select("__piece", before.alias("__before"))), "__piece")
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("__piece").orderBy("__g").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    return got.withColumn(name, inside + F.col("__before")).drop("__piece", "__g", "__before")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import importlib
 
-from convoloom.plans import sql_merge, sql_messages, sql_sessions
+from convoloom.plans import sql_exports, sql_merge, sql_messages, sql_sessions
 
 #: Modules whose functions named qNN_ or pN_ are queries.
-MODULES = ("schema_drift", "time_queries", "nested", "messages", "listing", "search", "replicas", "timeline", "usage", "workspaces", "merge")
+MODULES = ("schema_drift", "time_queries", "nested", "messages", "listing", "search", "replicas", "timeline", "usage", "workspaces", "merge", "export", "snapshots", "transcripts")
 
 
 def _collect() -> dict:
@@ -22,4 +22,4 @@ def _collect() -> dict:
 
 
 QUERIES = _collect()
-SQL: dict[str, str] = {**sql_messages.SQL, **sql_sessions.SQL, **sql_merge.SQL}
+SQL: dict[str, str] = {**sql_messages.SQL, **sql_sessions.SQL, **sql_merge.SQL, **sql_exports.SQL}
