@@ -7,13 +7,31 @@ import importlib
 from convoloom.plans import sql_exports, sql_merge, sql_messages, sql_sessions
 
 #: Modules whose functions named qNN_ or pN_ are queries.
-MODULES = ("schema_drift", "time_queries", "nested", "messages", "listing", "search", "replicas", "timeline", "usage", "workspaces", "merge", "export", "snapshots", "transcripts")
+MODULES = (
+    "operators.schema_drift",
+    "operators.time_queries",
+    "operators.nested",
+    "operators.messages",
+    "operators.listing",
+    "operators.search",
+    "operators.replicas",
+    "operators.timeline",
+    "operators.usage",
+    "operators.workspaces",
+    "operators.merge",
+    "operators.export",
+    "operators.snapshots",
+    "operators.transcripts",
+    "operators.kvstore",
+    "operators.identity",
+    "streaming.windows",
+)
 
 
 def _collect() -> dict:
     out = {}
     for name in MODULES:
-        module = importlib.import_module(f"convoloom.operators.{name}")
+        module = importlib.import_module(f"convoloom.{name}")
         for k, f in vars(module).items():
             head = k.split("_", 1)[0]
             if callable(f) and head[:1] in "pq" and head[1:].isdigit() and f.__module__ == module.__name__:

@@ -44,3 +44,15 @@ SQL = {
     "q68_record_wrappers": f"WITH x AS (SELECT {VALID} AS j FROM transcript_lines), y AS (SELECT CASE WHEN json_type(j) = 'OBJECT' THEN 'plain' WHEN json_type(j) = 'VARCHAR' AND json_valid(json_extract_string(j, '$')) AND json_type(json_extract_string(j, '$')) = 'OBJECT' THEN 'wrapped' ELSE 'none' END AS how FROM x) SELECT how, count(*) AS n FROM y GROUP BY how",
 }
 SQL["q61_migrate_preview"] = f"WITH el AS ({SQL['q53_migrate_eligibility']}), {INST} SELECT DISTINCT id, workspace, '/data/moved' || substring(workspace, 5) AS moved FROM inst JOIN el USING (id) WHERE eligibility = 'eligible' AND (workspace = '/srv' OR starts_with(workspace, '/srv/'))"
+SQL["q51_kv_live_sessions"] = "WITH c AS (SELECT session_id, count(*) AS n_bubbles FROM messages WHERE session_id IS NOT NULL GROUP BY session_id), s AS (SELECT id, arg_min(row(title), session_row_id)[1] AS title FROM sessions WHERE id IS NOT NULL GROUP BY id) SELECT session_id, title, n_bubbles FROM c JOIN s ON s.id = session_id"
+SQL["q60_kv_bubbles"] = f"WITH u AS ({SESSIONS['q28_token_usage']}) SELECT m.msg_id, CAST(CASE WHEN regexp_replace(coalesce(content, ''), '{SP}+', '', 'g') = '' THEN CASE WHEN contains(content, chr(10)) THEN len(content) ELSE 15 END ELSE len(content) END AS INT) AS n_chars, false AS corrupted, u.input FROM messages m LEFT JOIN u USING (msg_id) WHERE session_id IS NOT NULL"
+KEYED = "SELECT session_id, msg_id, message_key FROM messages WHERE session_id IS NOT NULL AND message_key <> ''"
+SQL["q69_collision_ids"] = f"WITH k AS ({KEYED}), n AS (SELECT *, row_number() OVER (PARTITION BY session_id, message_key ORDER BY msg_id) AS n FROM k) SELECT msg_id, message_key || CASE WHEN n = 1 THEN '' ELSE ':collision:' || CAST(n - 1 AS VARCHAR) END AS identity FROM n"
+LINKS = f"k AS (SELECT DISTINCT session_id, message_key FROM ({KEYED})), x AS (SELECT m.session_id, m.msg_id, k.message_key AS parent_id, coalesce(parent_key, '') <> '' AND k.message_key IS NULL AS unresolved FROM messages m LEFT JOIN k ON k.session_id = m.session_id AND k.message_key = m.parent_key WHERE m.session_id IS NOT NULL)"
+SQL["q71_link_rewrite"] = f"WITH {LINKS} SELECT msg_id, parent_id, unresolved FROM x"
+SQL["q72_link_states"] = f"WITH {LINKS} SELECT session_id, CASE WHEN bool_or(unresolved) THEN 'partial' ELSE 'complete' END AS state, count(*) FILTER (WHERE unresolved) AS n_unresolved FROM x GROUP BY session_id"
+STEP = 21600000
+SQL["q73_stream_tumbling"] = f"SELECT epoch_us(ts) // 1000 // {STEP} * {STEP} AS start_ms, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY ALL"
+SQL["q74_stream_sliding"] = f"WITH x AS (SELECT epoch_us(ts) // 1000 // {STEP} * {STEP} AS s FROM events), y AS (SELECT s FROM x UNION ALL SELECT s - {STEP} FROM x) SELECT s AS start_ms, count(*) AS n FROM y GROUP BY s"
+SQL["q75_stream_sessions"] = f"""WITH x AS (SELECT user_id, epoch_us(ts) AS t FROM events), y AS (SELECT *, CASE WHEN t >= lag(t) OVER (PARTITION BY user_id ORDER BY t) + {STEP}000 OR lag(t) OVER (PARTITION BY user_id ORDER BY t) IS NULL THEN 1 ELSE 0 END AS b FROM x),
+ z AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS g FROM y) SELECT user_id, min(t) // 1000 AS start_ms, (max(t) + {STEP}000) // 1000 AS end_ms, count(*) AS n FROM z GROUP BY user_id, g"""
