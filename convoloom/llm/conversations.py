@@ -35,7 +35,7 @@ def speaker(role: Column) -> Column:
 
 def prepare(messages: DataFrame, zone: DataFrame) -> DataFrame:
     """The narrow rows that go into state; texts stay behind."""
-    m = messages.join(zone, "workspace_id", "left").where("session_id is not null")
+    m = messages.select("workspace_id", "session_id", "message_key", "parent_key", "role", "content", "msg_id", "msg_time", "received_at").join(zone, "workspace_id", "left").where("session_id is not null")
     ident = F.when(F.coalesce("message_key", F.lit("")) != "", F.col("message_key")).otherwise(F.concat(F.lit("\x01"), F.col("msg_id").cast("string")))
     blank = ~F.coalesce("content", F.lit("")).rlike(r"[^\s ​﻿]")
     return m.select("session_id", ident.alias("ident"), F.to_timestamp("received_at").alias("arrived"), "msg_id", F.when(F.col("message_key") != "", F.col("message_key")).alias("message_key"), "parent_key", speaker(F.col("role")).alias("role"), blank.alias("blank"), times.utc_ms(F.col("msg_time"), F.col("tz")).alias("ms"))
