@@ -126,7 +126,7 @@ def stored_kv(spark, sf_dir: str) -> str:
 
 def q51_kv_live_sessions(spark, d):
     folder = stored_kv(spark, d)
-    return live_sessions(read_kv(spark, folder), read_kv(spark, folder))
+    return live_sessions(read_kv(spark, folder, ["key", "value"]), read_kv(spark, folder, ["key"]))
 
 
 def q60_kv_bubbles(spark, d):

@@ -1,8 +1,7 @@
 """Data source "kvsqlite": two-column key-value tables of SQLite files.
 
 Options: path (a file or a folder, searched for pattern, default *.vscdb), table (default cursorDiskKV), pageRows. The
-schema is (file, rowid, key, byte_length, value); only the columns asked for are read, so listing keys never touches
-values. Filters on key (equal, prefix) and on nulls go into the SQL. One partition for each file; rows come in pages
+schema is (file, rowid, key, byte_length, value), or the columns of it that are asked for. Filters on key (equal, prefix) and on nulls go into the SQL. One partition for each file; rows come in pages
 by rowid. Files are opened read-only; undecodable values are an error that names file and key.
 """
 
@@ -148,7 +147,10 @@ def write_kv(df: DataFrame, folder: str, table: str = "cursorDiskKV") -> None:
     df.select("key", "value").mapInArrow(go, "n bigint").write.format("noop").mode("overwrite").save()
 
 
-def read_kv(spark: SparkSession, path: str, **options) -> DataFrame:
+def read_kv(spark: SparkSession, path: str, columns: list[str] | None = None, **options) -> DataFrame:
+    """A load of a store. columns limits what is read from the files (Spark doesn't tell a Python source which columns a plan needs), so a listing asks for key and byte_length and leaves the values alone."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # the reader takes filters on keys
     spark.dataSource.register(KvSqlite)
-    return spark.read.format("kvsqlite").options(path=path, **options).load()
+    kinds = dict(c.split() for c in SCHEMA.split(", "))
+    reader = spark.read.format("kvsqlite").options(path=path, **options)
+    return (reader.schema(", ".join(f"{c} {kinds[c]}" for c in columns)) if columns else reader).load()
