@@ -85,20 +85,22 @@ def place_untimed(rows: DataFrame) -> DataFrame:
     in the session, or in a circle, a message counts as sent when it arrived.
     """
     none = F.array().cast("array<bigint>")
-    timed = rows.where("ms is not null").withColumns({"anchor_ms": F.col("ms"), "anchor_id": F.col("msg_id"), "path": none})
-    at = rows.where("ms is null").withColumns({"pointer": F.col("parent_key"), "path": F.array("msg_id")})
-    at, placed = settle(at, "untimed"), timed
-    left = at.count()
+    placed = rows.where("ms is not null").withColumns({"anchor_ms": F.col("ms"), "anchor_id": F.col("msg_id"), "path": none})
+    at = settle(rows.where("ms is null").withColumns({"pointer": F.col("parent_key"), "path": F.array("msg_id"), "root_ms": F.col("arrived_ms")}), "untimed")
+    # how far each of them has come: the message above the first of its path, the path from there, and when its first arrived
+    step = lambda df: df.where("message_key is not null").select("session_id", F.col("message_key").alias("pointer"), F.struct("pointer", "path", "root_ms").alias("h"))
+    done, left = step(at.limit(0)), at.count()
     for _ in range(max(1, left).bit_length() + 1):
         if not left:
             return placed
-        targets = rows.where("message_key is not null").join(at.select("session_id", F.col("pointer").alias("message_key")).distinct(), ["session_id", "message_key"], "left_semi").select("session_id", F.col("message_key").alias("pointer"), F.struct(F.col("ms").alias("ms"), F.col("msg_id").alias("id"), F.col("arrived_ms").alias("arrived")).alias("p"))
-        hops = at.where("message_key is not null").select("session_id", F.col("message_key").alias("pointer"), F.struct(F.col("pointer").alias("pointer"), F.col("path").alias("path")).alias("h"))
-        got = at.join(targets, ["session_id", "pointer"], "left").join(hops, ["session_id", "pointer"], "left")
+        targets = rows.where("message_key is not null").join(at.select("session_id", F.col("pointer").alias("message_key")).distinct(), ["session_id", "message_key"], "left_semi").select("session_id", F.col("message_key").alias("pointer"), F.struct("ms", F.col("msg_id").alias("id")).alias("p"))
+        got = at.join(targets, ["session_id", "pointer"], "left").join(done.unionByName(step(at)), ["session_id", "pointer"], "left")
         got = settle(got, "untimed")
         ready = got.where("p is null or p.ms is not null")
-        placed = placed.unionByName(ready.select(*rows.columns, F.coalesce("p.ms", "arrived_ms").alias("anchor_ms"), F.coalesce("p.id", F.get("path", F.lit(0))).alias("anchor_id"), F.when(F.col("p").isNotNull(), F.col("path")).otherwise(F.slice("path", 2, 1 << 30)).alias("path")))
-        at = got.where("p is not null and p.ms is null").select(*rows.columns, F.col("h.pointer").alias("pointer"), F.concat("h.path", "path").alias("path"))
+        lost = F.col("p").isNull()
+        placed = placed.unionByName(ready.select(*rows.columns, F.when(lost, F.col("root_ms")).otherwise(F.col("p.ms")).alias("anchor_ms"), F.when(lost, F.get("path", F.lit(0))).otherwise(F.col("p.id")).alias("anchor_id"), F.when(lost, F.slice("path", 2, 1 << 30)).otherwise(F.col("path")).alias("path")))
+        done = done.unionByName(step(ready))
+        at = got.where("p is not null and p.ms is null").select(*rows.columns, F.col("h.pointer").alias("pointer"), F.concat("h.path", "path").alias("path"), F.col("h.root_ms").alias("root_ms"))
         left = at.count()
     return placed.unionByName(at.select(*rows.columns, F.col("arrived_ms").alias("anchor_ms"), F.col("msg_id").alias("anchor_id"), none.alias("path")))
 

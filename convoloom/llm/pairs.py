@@ -42,7 +42,7 @@ REFUSE = {
     "en": r"(?:as an? (?:ai |language |virtual )*(?:assistant|model)[, ]+)?(?:i|we) (?:can'?t|can not|cannot|won'?t|will not|(?:am|'m|are) (?:unable|not able|not allowed|not permitted)(?: to)?|won'?t be able to|must|have to|need to)(?: be able to)? ?(?:\w+ ){0,2}?(?:help|assist|provide|answer|do (?:this|that)|comply|fulfil|support|decline|refuse|respond|discuss|share|continue)|that is something i have to decline|this falls outside what i'?m allowed|(?:this|that|your) request (?:is|has to be) (?:declined|refused)",
     "de": r"(?:aber )?(?:hier )?(?:ich )?(?:kann|darf|muss|möchte|werde) (?:ich )?(?:\w+ ){0,5}?(?:nicht (?:helfen|beantworten|weiterhelfen|antworten|unterstützen)|ablehnen|verweigern)",
     "fr": r"(?:mais )?je (?:ne (?:peux|suis|puis) pas (?:\w+ ){0,5}?(?:répondre|aider|autorisée?|en mesure|accéder)|(?:dois|préfère) (?:\w+ )?(?:refuser|décliner))|il ne m'est pas permis",
-    "es": r"(?:pero )?(?:no (?:puedo|me está permitido|me es posible|estoy autorizad[oa]) (?:\w+ ){0,3}?(?:ayudar|responder|contestar|hacer|atender|continuar)?|(?:tengo que|debo) (?:rechazar|negarme))",
+    "es": r"(?:pero )?(?:no (?:puedo|me está permitido|me es posible|estoy autorizad[oa]) (?:\w+ ){0,3}?(?:ayudar|responder|contestar|hacer|atender|continuar)|(?:tengo que|debo) (?:rechazar|negarme))",
     "pt": r"(?:mas )?(?:não (?:posso|me é permitido|consigo|estou autorizad[oa]) (?:\w+ ){0,3}?(?:ajudar|responder|fazer|continuar|atender)|(?:tenho de|tenho que|devo) (?:recusar|rejeitar))",
     "zh": r"(?:但)?我?(?:不能|无法|必须|不可以|没办法)(?:\p{Han}{0,4})?(?:回答|协助|帮助|完成|拒绝|提供|满足)",
 }
@@ -51,7 +51,7 @@ REFUSAL = regex.compile("^(?:" + "|".join(rf"(?:{SORRY[k]}[,，、 ]*(?:but |abe
 REFUSAL_WORDS, REFUSAL_SIGNS = 45, 160
 
 #: A question that asks for a language, in any of the languages: a verb or noun of answering, and a language's name behind in, auf, en, em or 用.
-ASKED = regex.compile(r"(?:\b(?:answer|reply|respond|write|text|translat\w+|antwort\w*|schreib\w*|übersetz\w*|répon\w+|écri\w+|tradui\w+|respond\w+|contest\w+|escrib\w+|escrev\w+|traduz\w*|texto|texte)\b[^.?!]{0,40}?\b(?:in|auf|en|em|into|to|para|ins?)\s+|请?用|翻译成)\s*(?:the )?(" + "|".join(sorted({w for v in SPELLINGS.values() for w in v.split() if len(w) > 3 or HAN.search(w)} | {"英文", "英语", "德语", "德文", "法语", "法文", "西班牙语", "葡萄牙语", "葡语"}, key=len, reverse=True)) + r")(?![\p{L}])")
+ASKED = regex.compile(r"(?:\b(?:answer|reply|respond|write|text|translat\w+|antwort\w*|schreib\w*|übersetz\w*|répon\w+|écri\w+|tradui\w+|respond\w+|contest\w+|escrib\w+|escrev\w+|traduz\w*|texto|texte)\b[^.?!]{0,40}?\b(?:in|auf|en|em|into|to|para|ins?)\s+|请?用|翻译成)\s*(?:the )?(" + "|".join(sorted({w for v in SPELLINGS.values() for w in v.split() if len(w) > 3 or HAN.search(w)} | {"英文", "英语", "德语", "德文", "法语", "法文", "西班牙语", "葡萄牙语", "葡语"}, key=len, reverse=True)) + r")(?!\p{Latin})")
 NAMES = {w: k for k, v in SPELLINGS.items() for w in v.split()} | {"英文": "en", "英语": "en", "德语": "de", "德文": "de", "法语": "fr", "法文": "fr", "西班牙语": "es", "葡萄牙语": "pt", "葡语": "pt"}
 
 
