@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from convoloom.functions.times import bound
+
 #: What counts as white space everywhere: the class of the source data's language, not Java's or SQL's.
 SPACE = r"\t\n\x0b\x0c\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff".encode().decode("unicode_escape")
 _RUN = f"[{SPACE}]+"
@@ -63,10 +67,22 @@ def match_positions(content: Column, query: str) -> Column:
     q = query.lower()
     if not q:
         return F.array().cast("array<int>")
-    low = F.lower(content)
-    last = F.length(low) - len(q)
-    starts = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.when(F.substring(low, i + 1, F.lit(len(q))) == q, i)), lambda x: x.isNotNull())
-    return F.when((last >= 0) & F.contains(low, F.lit(q)), starts).otherwise(F.array().cast("array<int>"))
+    none = F.array().cast("array<int>")
+    if not any(q.endswith(q[:k]) for k in range(1, len(q))):
+        # matches can't overlap, so they are where the text falls apart
+
+        def seams(parts):
+            return F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x)) + (i - 1) * len(q))
+
+        found = bound(F.split(F.lower(content), F.lit(re.sub(r"([^\w\s])", r"\\\1", q)), -1), lambda parts: F.when(F.size(parts) > 1, seams(parts)).otherwise(none))
+        return F.coalesce(found, none)
+
+    def starts(low):
+        last = F.length(low) - len(q)
+        every = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.when(F.substring(low, i + 1, F.lit(len(q))) == q, i)), lambda x: x.isNotNull())
+        return F.when((last >= 0) & F.contains(low, F.lit(q)), every).otherwise(none)
+
+    return F.coalesce(bound(F.lower(content), starts), none)
 
 
 def utf16_length(c: Column) -> Column:
@@ -75,11 +91,15 @@ def utf16_length(c: Column) -> Column:
 
 def snippet_of(content: Column, positions: Column, size: int, around: int) -> Column:
     """struct<text, positions>: the first match with so many characters on both sides; positions of the matches that lie inside the cut."""
-    first, n = F.get(positions, F.lit(0)), F.length(content)
-    a, b = F.greatest(F.lit(0), first - around), F.least(n, first + size + around)
-    text = F.concat(F.when(a > 0, "...").otherwise(""), F.substring(content, a + 1, b - a), F.when(b < n, "...").otherwise(""))
-    inside = F.transform(F.filter(positions, lambda p: (p >= a) & (p + size <= b)), lambda p: p - a + F.when(a > 0, 3).otherwise(0))
-    return F.struct(text.alias("text"), inside.alias("positions"))
+
+    def body(ps):
+        first, n = F.get(ps, F.lit(0)), F.length(content)
+        a, b = F.greatest(F.lit(0), first - around), F.least(n, first + size + around)
+        text = F.concat(F.when(a > 0, "...").otherwise(""), F.substring(content, a + 1, b - a), F.when(b < n, "...").otherwise(""))
+        inside = F.transform(F.filter(ps, lambda p: (p >= a) & (p + size <= b)), lambda p: p - a + F.when(a > 0, 3).otherwise(0))
+        return F.struct(text.alias("text"), inside.alias("positions"))
+
+    return bound(positions, body)
 
 
 def source_lines(content: Column) -> Column:
@@ -89,12 +109,17 @@ def source_lines(content: Column) -> Column:
 
 def line_context(content: Column, position: Column, k: int) -> Column:
     """struct<line_no, line, before, after> of the line that holds a 0-based position; before and after hold up to k lines and are null when empty."""
-    lines = source_lines(content)
-    no = F.size(F.split(F.substring(content, 1, position), "\n")) - 1
-    before = F.slice(lines, F.greatest(F.lit(1), no + 1 - k), F.least(F.lit(k), no)) if k else F.array().cast("array<string>")
-    after = F.slice(lines, no + 2, F.lit(k)) if k else F.array().cast("array<string>")
     empty = lambda x: F.when(F.size(x) > 0, x)
-    return F.struct(no.alias("line_no"), F.get(lines, no).alias("line"), empty(before).alias("before"), empty(after).alias("after"))
+
+    def body(lines):
+        def at(no):
+            before = F.slice(lines, F.greatest(F.lit(1), no + 1 - k), F.least(F.lit(k), no)) if k else F.array().cast("array<string>")
+            after = F.slice(lines, no + 2, F.lit(k)) if k else F.array().cast("array<string>")
+            return F.struct(no.alias("line_no"), F.get(lines, no).alias("line"), empty(before).alias("before"), empty(after).alias("after"))
+
+        return bound(F.size(F.split(F.substring(content, 1, position), "\n")) - 1, at)
+
+    return bound(source_lines(content), body)
 
 
 _BLOCK = r"(?m)^```(\w*)\n([\s\S]*?)^```"
