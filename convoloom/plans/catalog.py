@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-from convoloom.plans import sql_exports, sql_merge, sql_messages, sql_sessions
+from convoloom.plans import sql_exports, sql_merge, sql_messages, sql_problems, sql_sessions
 
 #: Modules whose functions named qNN_ or pN_ are queries.
 MODULES = (
@@ -40,4 +40,4 @@ def _collect() -> dict:
 
 
 QUERIES = _collect()
-SQL: dict[str, str] = {**sql_messages.SQL, **sql_sessions.SQL, **sql_merge.SQL, **sql_exports.SQL}
+SQL: dict[str, str] = {**sql_messages.SQL, **sql_sessions.SQL, **sql_merge.SQL, **sql_exports.SQL, **{k: v for k, v in sql_problems.SQL.items() if k in QUERIES}}
