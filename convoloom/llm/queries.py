@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from convoloom.llm import conversations, language, packing, pairs, personal, survivor, tokenise
+from convoloom.llm.sql import SQL
 
 QUERIES = {
     "p2_found": personal.p2_found,
@@ -19,4 +20,4 @@ QUERIES = {
     "p10_languages": language.p10_languages,
 }
 
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
