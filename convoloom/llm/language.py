@@ -52,7 +52,7 @@ FENCE = regex.compile(r"^\s*(```|~~~)")
 LINES = regex.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
 ENDS = regex.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s)|[。！？]+[”’」』）]*")
 QUOTED = regex.compile(r"`[^`]*`|\"[^\"]{0,200}\"|“[^“”]{0,200}”|„[^“”„]{0,200}[“”]|«[^»]{0,200}»|「[^」]{0,200}」|‘[^’]{0,200}’|<[^<>]{0,120}>|https?://\S+|\S+@\S+|\S*[/\\]\S+")
-NAMES = regex.compile(r"\b\w*(?:\p{Ll}\p{Lu}|_|\d)\w*\b")
+NAMES = regex.compile(r"[A-Za-z0-9_]*(?:[a-z][A-Z]|[0-9_])[A-Za-z0-9_]*")
 JUNK = regex.compile(r"[^\p{L}\p{M}'’¿¡]+")
 
 
@@ -176,10 +176,12 @@ class Trees:
 
 #: Depths of the trees of each round of training. Shallow trees can't learn single sentences by heart, so a minority of wrong labels doesn't hold against them.
 DEPTHS = (2, 3, ORDER)
+#: How often a label is taken to be right, and to be one certain wrong one: what each occurrence of a sentence says for its label.
+RIGHT, WRONG = 0.7, 0.06
 
 
 def train(docs: list[tuple[str, str]]) -> Trees:
-    """Trees from (language, text) pairs whose labels may be wrong: each round grows trees from its labels, deeper than before, and gives every sentence the label that codes it shortest."""
+    """Trees from (language, text) pairs whose labels may be wrong: each round grows trees from its labels, deeper than before, and gives every sentence the label that codes it shortest, the labels it came with included."""
     texts: dict[str, list] = {lang: [] for lang in LANGS}
     size = dict.fromkeys(LANGS, 0)
     for lang, text in docs:
@@ -187,12 +189,18 @@ def train(docs: list[tuple[str, str]]) -> Trees:
             if size[lang] < TRAIN_BYTES and telling(e := essence(text[a:b])):
                 texts[lang].append(e.encode())
                 size[lang] += len(texts[lang][-1])
-    everything = [e for lang in LANGS for e in texts[lang]]
+    votes: dict[bytes, np.ndarray] = {}
+    for i, lang in enumerate(LANGS):
+        for e in texts[lang]:
+            votes.setdefault(e, np.zeros(len(LANGS)))[i] += 1
+    distinct = sorted(votes)
+    counts = np.array([votes[e] for e in distinct]).reshape(-1, len(LANGS))
+    said = -np.log2(WRONG) * counts.sum(1, keepdims=True) - np.log2(RIGHT / WRONG) * counts
     trees = Trees.grow(texts, DEPTHS[0])
     for depth in DEPTHS[1:]:
-        if everything:
-            best = trees.code_lengths(everything).argmin(1)
-            texts = {lang: [e for e, i in zip(everything, best) if LANGS[i] == lang] for lang in LANGS}
+        if distinct:
+            best = (trees.code_lengths(distinct) + said).argmin(1)
+            texts = {lang: [e for e, i, n in zip(distinct, best, counts.sum(1).astype(int)) if LANGS[i] == lang for _ in range(n)] for lang in LANGS}
         trees = Trees.grow(texts, depth)
     return trees
 
