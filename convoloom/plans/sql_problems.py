@@ -44,3 +44,11 @@ SQL = {
  SELECT install_id, feed, drop_no, field, 'renamed' AS change_type, new_field FROM r UNION ALL SELECT install_id, feed, drop_no, path, 'removed', '' FROM b WHERE t2 IS NULL AND (install_id, feed, drop_no, path) NOT IN (SELECT (install_id, feed, drop_no, field) FROM r)
  UNION ALL SELECT install_id, feed, drop_no, path, 'added', '' FROM b WHERE t1 IS NULL AND (install_id, feed, drop_no, path) NOT IN (SELECT (install_id, feed, drop_no, new_field) FROM r) UNION ALL SELECT install_id, feed, drop_no, path, 'type', '' FROM b WHERE t1 <> t2""",
 }
+_LINES = "x AS (SELECT *, CASE WHEN json_valid(raw) THEN raw END AS w FROM transcript_lines), y AS (SELECT *, CASE WHEN json_type(w) = 'OBJECT' THEN w WHEN json_type(w) = 'VARCHAR' AND json_valid(json_extract_string(w, '$')) AND json_type(json_extract_string(w, '$')) = 'OBJECT' THEN json_extract_string(w, '$') END AS j FROM x)"
+SQL["p6_lines"] = f"""WITH {_LINES} SELECT line_id, session_id, line_no, CASE WHEN j IS NOT NULL THEN 'record' WHEN w IS NULL THEN 'damaged' ELSE 'other' END AS state, json_extract_string(j, '$.role') AS role, json_extract_string(j, '$.type') AS type, json_extract_string(j, '$.error') AS error,
+ json_extract_string(j, '$.parentMessageId') AS parent_message_id, TRY_CAST(json_extract_string(j, '$.isSidechain') AS BOOLEAN) AS is_sidechain FROM y"""
+SQL["q58_tool_usage"] = SQL["p6_found"].replace(
+    "SELECT line_id, part_path, coalesce(json_extract_string(part, '$.type'), '') AS part_type, coalesce(json_extract_string(part, '$.name'), '') AS part_name FROM p",
+    """, c AS (SELECT session_id, json_extract_string(part, '$.id') AS call_id, json_extract_string(part, '$.name') AS name FROM p JOIN transcript_lines USING (line_id) WHERE json_extract_string(part, '$.type') = 'tool_use'), a AS (SELECT DISTINCT json_extract_string(part, '$.tool_use_id') AS call_id FROM p WHERE json_extract_string(part, '$.type') = 'tool_result')
+ SELECT name, count(*) AS n_calls, count(a.call_id) AS n_answered, count(DISTINCT session_id) AS n_sessions FROM c LEFT JOIN a USING (call_id) GROUP BY name""",
+)

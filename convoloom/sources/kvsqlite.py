@@ -11,6 +11,7 @@ import glob
 import os
 import re
 import sqlite3
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -123,25 +124,24 @@ def write_kv(df: DataFrame, folder: str, table: str = "cursorDiskKV") -> None:
     path = local_path(folder)
 
     def go(batches):
-        import tempfile
-        import uuid
-
-        with tempfile.TemporaryDirectory() as tmp:
-            local, n = os.path.join(tmp, "state.vscdb"), 0
-            con = sqlite3.connect(local)
+        # each partition fills a file of its own in the shared folder and renames it when it is whole
+        os.makedirs(path, exist_ok=True)
+        part, n = os.path.join(path, f"part-{uuid.uuid4().hex}"), 0
+        con = sqlite3.connect(part + ".tmp")
+        try:
+            con.execute("PRAGMA journal_mode = OFF")
+            con.execute("PRAGMA synchronous = OFF")
             con.execute(f"CREATE TABLE {table} (key TEXT, value BLOB)")
             for b in batches:
                 con.executemany(f"INSERT INTO {table} VALUES (?, ?)", zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
                 n += b.num_rows
             con.commit()
+        finally:
             con.close()
-            if n:
-                os.makedirs(path, exist_ok=True)
-                target = os.path.join(path, f"part-{uuid.uuid4().hex}")
-                with open(local, "rb") as src, open(target + ".tmp", "wb") as dst:
-                    while chunk := src.read(1 << 20):
-                        dst.write(chunk)
-                os.replace(target + ".tmp", target + ".vscdb")
+        if n:
+            os.replace(part + ".tmp", part + ".vscdb")
+        else:
+            os.remove(part + ".tmp")
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
     df.select("key", "value").mapInArrow(go, "n bigint").write.format("noop").mode("overwrite").save()
