@@ -284,7 +284,6 @@ def candidate_spans(texts: DataFrame, people: list[tuple]) -> DataFrame:
 
     def go(batches):
         gazetteer = Gazetteer(shared.value)
-        memory: dict[str, list] = {}
         for b in batches:
             out = []
             for t, i, f, text in zip(*(c.to_pylist() for c in b.columns)):

@@ -28,3 +28,4 @@ SQL = {
  g AS (SELECT *, lead(who) OVER (PARTITION BY session_id ORDER BY pos) AS nxt FROM w), bad AS (SELECT DISTINCT session_id FROM g WHERE who = 0 OR pos = 1 AND who = 2 OR who = 1 AND coalesce(nxt, 1) = 1 UNION SELECT l.session_id FROM l ANTI JOIN e ON e.session_id = l.session_id AND e.message_key = l.message_key)
  SELECT session_id, CAST(pos AS INT) AS pos, msg_id FROM w WHERE session_id NOT IN (SELECT session_id FROM bad)""",
 }
+SQL["p5_conversations"] = f"WITH kept AS ({SQL['p5_found']}) SELECT kept.session_id, pos, msg_id, CASE WHEN lower({without_blanks('role')}) IN {_USERS} THEN 'user' ELSE 'assistant' END AS speaker, content FROM kept JOIN messages USING (msg_id)"
