@@ -24,6 +24,7 @@ USER, ASSISTANT, UNREADABLE = 1, 2, 0
 # Spellings of the two speakers, compared without case and blanks around them.
 USERS = ("user", "human", "1", "usr", "person", "prompter")
 ASSISTANTS = ("assistant", "ai", "model", "2", "bot", "asst", "gpt", "agent")
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
 STATE = ["msg_id", "message_key", "parent_key", "role", "blank", "ms", "arrived_ms"]
 
 
@@ -62,7 +63,15 @@ def buffer_messages(stream: DataFrame, zone: DataFrame, delay: str = "7 days", t
     def append(df: DataFrame, batch: int) -> None:
         df.select("session_id", "ident", "m.*").write.mode("overwrite").parquet(f"{folder}/buffer/batch={batch}")
 
-    query = kept.writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", f"{folder}/state").trigger(**(trigger or {"availableNow": True})).start()
+    # state on disk, so that it may outgrow the executors' memory; the query takes the settings with it when it starts
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        query = kept.writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", f"{folder}/state").trigger(**(trigger or {"availableNow": True})).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return query, f"{folder}/buffer"
 
 
