@@ -24,6 +24,7 @@ MODULES = (
     "operators.transcripts",
     "operators.kvstore",
     "operators.identity",
+    "operators.claims",
     "streaming.windows",
 )
 

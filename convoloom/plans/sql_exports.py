@@ -56,3 +56,9 @@ SQL["q73_stream_tumbling"] = f"SELECT epoch_us(ts) // 1000 // {STEP} * {STEP} AS
 SQL["q74_stream_sliding"] = f"WITH x AS (SELECT epoch_us(ts) // 1000 // {STEP} * {STEP} AS s FROM events), y AS (SELECT s FROM x UNION ALL SELECT s - {STEP} FROM x) SELECT s AS start_ms, count(*) AS n FROM y GROUP BY s"
 SQL["q75_stream_sessions"] = f"""WITH x AS (SELECT user_id, epoch_us(ts) AS t FROM events), y AS (SELECT *, CASE WHEN t >= lag(t) OVER (PARTITION BY user_id ORDER BY t) + {STEP}000 OR lag(t) OVER (PARTITION BY user_id ORDER BY t) IS NULL THEN 1 ELSE 0 END AS b FROM x),
  z AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS g FROM y) SELECT user_id, min(t) // 1000 AS start_ms, (max(t) + {STEP}000) // 1000 AS end_ms, count(*) AS n FROM z GROUP BY user_id, g"""
+SQL["q76_first_claims"] = f"""WITH c AS (SELECT id, 0 AS source, session_row_id AS r, {PUBLIC.format("workspace")} AS w FROM sessions WHERE source <> 'global' AND workspace IS NOT NULL UNION ALL SELECT session_id, 1, meta_id, {PUBLIC.format("cwd")} FROM store_meta UNION ALL SELECT session_id, 2, msg_id, NULL FROM messages),
+ x AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY source, r) AS rn FROM c WHERE id IS NOT NULL) SELECT id, coalesce(w, '(global)') AS workspace, source FROM x WHERE rn = 1"""
+SQL["q77_scope_states"] = f"WITH {INST}, s AS (SELECT min(path) AS p FROM workspaces), g AS (SELECT id, count(*) FILTER (WHERE workspace = p) AS i, count(*) FILTER (WHERE workspace <> p) AS n_omitted FROM inst, s WHERE workspace IS NOT NULL GROUP BY id) SELECT id, CASE WHEN n_omitted > 0 THEN 'partial' ELSE 'complete' END AS state, n_omitted, CASE WHEN n_omitted > 0 THEN 'workspace-scope-omitted' ELSE '' END AS reasons FROM g WHERE i > 0"
+SQL["q78_contributions"] = f"""WITH {INST}, e AS (SELECT id, role, bool_or(tier = 'complete') AS complete FROM inst GROUP BY id, role), l AS (SELECT DISTINCT session_id AS id, unnest(CASE WHEN stack = 'both' THEN ['composer','store'] ELSE [stack] END) AS role FROM messages WHERE stack IS NOT NULL AND session_id IS NOT NULL),
+ x AS (SELECT e.*, l.id IS NOT NULL AS there FROM e LEFT JOIN l USING (id, role)) SELECT id, CASE WHEN bool_and(there AND complete) THEN 'complete' ELSE 'partial' END AS state, concat_ws(',', CASE WHEN bool_or(there AND role = 'composer') THEN 'composer' END, CASE WHEN bool_or(there AND role = 'store') THEN 'store' END) AS roles,
+ concat_ws(',', CASE WHEN bool_or(NOT there) THEN 'source-unavailable' END, CASE WHEN bool_or(there AND NOT complete) THEN 'source-partial' END) AS reasons FROM x GROUP BY id"""

@@ -52,3 +52,6 @@ SQL["q58_tool_usage"] = SQL["p6_found"].replace(
     """, c AS (SELECT session_id, json_extract_string(part, '$.id') AS call_id, json_extract_string(part, '$.name') AS name FROM p JOIN transcript_lines USING (line_id) WHERE json_extract_string(part, '$.type') = 'tool_use'), a AS (SELECT DISTINCT json_extract_string(part, '$.tool_use_id') AS call_id FROM p WHERE json_extract_string(part, '$.type') = 'tool_result')
  SELECT name, count(*) AS n_calls, count(a.call_id) AS n_answered, count(DISTINCT session_id) AS n_sessions FROM c LEFT JOIN a USING (call_id) GROUP BY name""",
 )
+SQL["q79_block_evidence"] = f"""WITH {_LINES}, p AS (SELECT line_id, unnest(CASE json_type(j, '$.message.content') WHEN 'ARRAY' THEN CAST(json_extract(j, '$.message.content[*]') AS JSON[]) WHEN 'VARCHAR' THEN [CAST('{{"type":"text","text":""}}' AS JSON)] END) AS part FROM y)
+ SELECT line_id, count(*) AS n_parts, count(*) FILTER (WHERE NOT coalesce(json_extract_string(part, '$.type') = 'text' AND json_extract_string(part, '$.text') IS NOT NULL OR json_extract_string(part, '$.type') = 'tool_use' AND json_extract_string(part, '$.name') IS NOT NULL, false)) AS n_unsupported,
+ count(*) FILTER (WHERE json_extract_string(part, '$.type') = 'tool_use' AND json_extract_string(part, '$.name') IS NOT NULL) AS n_tools FROM p GROUP BY line_id"""
