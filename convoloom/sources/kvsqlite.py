@@ -1,6 +1,6 @@
 """Data source "kvsqlite": two-column key-value tables of SQLite files.
 
-Options: path (a file or a folder, searched for pattern, default *.vscdb), table (default cursorDiskKV), pageRows. The
+Options: path (a file or a folder, searched for pattern, default *.vscdb), table (default ItemTable), pageRows. The
 schema is (file, rowid, key, byte_length, value), or the columns of it that are asked for. Filters on key (equal, prefix) and on nulls go into the SQL. One partition for each file; rows come in pages
 by rowid. Files are opened read-only; undecodable values are an error that names file and key.
 """
@@ -53,7 +53,7 @@ class KvReader(DataSourceReader):
         self.columns = [f.name for f in schema.fields]
         self.options, self.where = options, []
         self.page = int(options.get("pagerows", options.get("pageRows", 256)))
-        self.table = options.get("table", "cursorDiskKV")
+        self.table = options.get("table", "ItemTable")
         if not self.table.replace("_", "").isalnum():
             raise ValueError(f"no table name: {self.table}")
 
@@ -119,7 +119,7 @@ class KvSqlite(DataSource):
         return KvReader(schema, dict(self.options))
 
 
-def write_kv(df: DataFrame, folder: str, table: str = "cursorDiskKV") -> None:
+def write_kv(df: DataFrame, folder: str, table: str = "ItemTable") -> None:
     """Writes key, value rows as SQLite files below a shared folder, one for each partition. Rows keep their order inside a partition."""
     path = local_path(folder)
 

@@ -14,7 +14,7 @@ from convoloom.sources.kvsqlite import read_kv, write_kv
 from convoloom.sources.storedb import leaf_object, read_store
 
 
-def kv_file(path, rows, table="cursorDiskKV"):
+def kv_file(path, rows, table="ItemTable"):
     con = sqlite3.connect(path)
     con.execute(f"CREATE TABLE {table} (key TEXT, value BLOB)")
     con.executemany(f"INSERT INTO {table} VALUES (?, ?)", rows)
@@ -33,7 +33,7 @@ def test_kv_scan(spark, tmp_path):
     assert {r["session_id"]: r["n_bubbles"] for r in bubble_counts(load()).collect()} == {"s0": 234, "s1": 233, "s2": 233, "S1": 1}
     assert [tuple(r) for r in live_sessions(load(), load()).collect()] == [("s1", "ü", 233)]
     assert composer_records(load()).count() == 2
-    assert read_kv(spark, str(tmp_path), table="ItemTable").count() == 0
+    assert read_kv(spark, str(tmp_path), table="Other").count() == 0
     with pytest.raises(Exception, match="no table name"):
         read_kv(spark, str(tmp_path), table="x; drop").count()
 
