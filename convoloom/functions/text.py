@@ -12,12 +12,14 @@ from convoloom.functions.times import bound
 #: What counts as white space everywhere: the class of the source data's language, not Java's or SQL's.
 SPACE = r"\t\n\x0b\x0c\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff".encode().decode("unicode_escape")
 _RUN = f"[{SPACE}]+"
+#: The same as single characters, for trims that look at the ends only.
+SPACES = "\t\n\x0b\x0c\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 FENCE = "```"
 EMPTY_MARK, CORRUPT_MARK = "[empty message]", "[corrupted message]"
 
 
 def trim_space(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def normalize_text(c: Column) -> Column:
@@ -132,7 +134,7 @@ def code_blocks(c: Column) -> Column:
     lines = lambda x: F.size(F.split(x, "\n")) - 1
     # lines before block i: those of the texts ahead of it and of the blocks before it
     starts = F.transform(F.sequence(F.lit(1), F.size(bodies)), lambda i: F.aggregate(F.slice(outside, F.lit(1), i), F.lit(0), lambda a, x: a + lines(x)) + F.aggregate(F.slice(bodies, F.lit(1), i - 1), F.lit(0), lambda a, x: a + lines(x) + 1))
-    rows = F.zip_with(F.arrays_zip(langs.alias("l"), bodies.alias("b")), starts, lambda x, s: F.struct(F.when(x["l"] != "", x["l"]).alias("language"), F.regexp_replace(x["b"], f"[{SPACE}]+$", "").alias("content"), s.alias("start_line")))
+    rows = F.zip_with(F.arrays_zip(langs.alias("l"), bodies.alias("b")), starts, lambda x, s: F.struct(F.when(x["l"] != "", x["l"]).alias("language"), F.rtrim(x["b"], F.lit(SPACES)).alias("content"), s.alias("start_line")))
     return F.when(F.size(bodies) > 0, rows).otherwise(F.array().cast("array<struct<language:string,content:string,start_line:int>>"))
 
 
