@@ -34,12 +34,17 @@ def speaker(role: Column) -> Column:
     return F.when(r.isin(*USERS), USER).when(r.isin(*ASSISTANTS), ASSISTANT).otherwise(UNREADABLE)
 
 
+def key_of(key: Column) -> Column:
+    """A message key as the 16 bytes of its digest: keys are long, and travel often. Null for null and empty ones."""
+    return F.when(key != "", F.unhex(F.md5(key)))
+
+
 def prepare(messages: DataFrame, zone: DataFrame) -> DataFrame:
     """The narrow rows that go into state; texts stay behind."""
     m = messages.select("workspace_id", "session_id", "message_key", "parent_key", "role", "content", "msg_id", "msg_time", "received_at").join(zone, "workspace_id", "left").where("session_id is not null")
-    ident = F.when(F.coalesce("message_key", F.lit("")) != "", F.col("message_key")).otherwise(F.concat(F.lit("\x01"), F.col("msg_id").cast("string")))
+    ident = F.coalesce(key_of(F.col("message_key")), key_of(F.concat(F.lit("\x01"), F.col("msg_id").cast("string"))))
     blank = ~F.coalesce("content", F.lit("")).rlike(r"[^\s ​﻿]")
-    return m.select("session_id", ident.alias("ident"), F.to_timestamp("received_at").alias("arrived"), "msg_id", F.when(F.col("message_key") != "", F.col("message_key")).alias("message_key"), "parent_key", speaker(F.col("role")).alias("role"), blank.alias("blank"), times.utc_ms(F.col("msg_time"), F.col("tz")).alias("ms"))
+    return m.select("session_id", ident.alias("ident"), F.to_timestamp("received_at").alias("arrived"), "msg_id", key_of(F.col("message_key")).alias("message_key"), key_of(F.col("parent_key")).alias("parent_key"), speaker(F.col("role")).alias("role"), blank.alias("blank"), times.utc_ms(F.col("msg_time"), F.col("tz")).alias("ms"))
 
 
 def _stream_of(spark: SparkSession, path: str) -> DataFrame:
@@ -77,7 +82,7 @@ def buffer_messages(stream: DataFrame, zone: DataFrame, delay: str = "7 days", t
 
 def buffered(spark: SparkSession, path: str) -> DataFrame:
     """The state as of the last batch: each message once. What was emitted again carries a smaller msg_id."""
-    rows = spark.read.schema("session_id string, ident string, msg_id bigint, message_key string, parent_key string, role int, blank boolean, ms bigint, arrived_ms bigint, batch int").parquet(path)
+    rows = spark.read.schema("session_id string, ident binary, msg_id bigint, message_key binary, parent_key binary, role int, blank boolean, ms bigint, arrived_ms bigint, batch int").parquet(path)
     return rows.groupBy("session_id", "ident").agg(F.min(F.struct(*STATE)).alias("m")).select("session_id", "m.*")
 
 
@@ -115,9 +120,9 @@ def place_untimed(rows: DataFrame) -> DataFrame:
 
 
 def active_branches(sessions: DataFrame) -> DataFrame:
-    """session_id and message_key of each key that a copy of the session lists; null elements and empty lists don't count."""
+    """session_id and message_key (as key_of gives it) of each key that a copy of the session lists; null and empty elements and empty lists don't count."""
     keys = sessions.where("id is not null and size(active_branch_bubble_ids) > 0").select(F.col("id").alias("session_id"), F.explode("active_branch_bubble_ids").alias("message_key"))
-    return keys.where("message_key is not null").distinct()
+    return keys.withColumn("message_key", key_of(F.col("message_key"))).where("message_key is not null").distinct()
 
 
 def rebuild(rows: DataFrame, listed: DataFrame) -> DataFrame:
