@@ -47,12 +47,17 @@ def label_of(lang):
     return F.element_at(F.create_map(*[F.lit(x) for k, v in LABELS.items() for x in (k, v)]), head)
 
 
-NOT_PROSE = regex.compile(r"^\s*(?:\d{1,2}:\d{2}:\d{2}|\d{4}-\d\d-\d\d[T ]|\[(?:Tool|Thinking|Error)|(?:File|Status|id|GET|POST|SELECT|WHERE|INSERT|Author|Signed-off-by)\b\s*[:=/A-Za-z`]*\s*(?:/|:|✓|[A-Z'a-z.]+\s+(?:FROM|LIKE)|[0-9a-f]{6})|[\[{<].*[\]}>;,]?$|[=\-_*#~]{3,}|#{1,6}\s*\P{L}*$|(?:def|class|import|from|const|let|var|return|if|for|while)\b.*[:;({]\s*$)")
+#: Lines that are no prose: logs, tools, requests, statements, rules, headings without letters, code. Every part reads a line once.
+NOT_PROSE = regex.compile(
+    r"^\s*+(?:\d{1,2}:\d{2}:\d{2}\b|\d{4}-\d\d-\d\d[T ]\d|\[(?:Tool|Thinking|Error)\b|(?:File|Status|Path|Command|id)\s*+:\s|(?:GET|POST|PUT|DELETE)\s++/|(?:SELECT|INSERT INTO|UPDATE|DELETE FROM|WHERE)\s++\S"
+    r"|(?:Author|Signed-off-by|Reviewed-by):\s|[\[{<]|[=\-_*#~]{3,}+\s*+$|#{1,6}+\P{L}*+$|(?:def|class|import|from|const|let|var|return|if|for|while)\b[^.?!\n]*+(?<=[:;({]))"
+)
 FENCE = regex.compile(r"^\s*(```|~~~)")
 LINES = regex.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
-ENDS = regex.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s)|[。！？]+[”’」』）]*")
-QUOTED = regex.compile(r"`[^`]*`|\"[^\"]{0,200}\"|“[^“”]{0,200}”|„[^“”„]{0,200}[“”]|«[^»]{0,200}»|「[^」]{0,200}」|‘[^’]{0,200}’|<[^<>]{0,120}>|https?://\S+|\S+@\S+|\S*[/\\]\S+")
-NAMES = regex.compile(r"[A-Za-z0-9_]*(?:[a-z][A-Z]|[0-9_])[A-Za-z0-9_]*")
+ENDS = regex.compile(r"(?<![.!?…])[.!?…]++[\"'”’»)\]]*+(?=\s)|(?<![。！？])[。！？]++[”’」』）]*+")
+QUOTED = regex.compile(r"`[^`]*`|\"[^\"]{0,200}\"|“[^“”]{0,200}”|„[^“”„]{0,200}[“”]|«[^»]{0,200}»|「[^」]{0,200}」|‘[^’]{0,200}’|<[^<>]{0,120}>")
+WORD = regex.compile(r"[A-Za-z0-9_]++")
+NAME = regex.compile(r"[a-z][A-Z]|[0-9_]")
 JUNK = regex.compile(r"[^\p{L}\p{M}'’¿¡]+")
 
 
@@ -87,10 +92,11 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 def essence(s: str) -> str:
-    """What of a sentence tells its language, in lower case; words joined by single spaces."""
-    for pattern in (QUOTED, NAMES, JUNK):
-        s = pattern.sub(" ", s)
-    return s.strip().lower()
+    """What of a sentence tells its language, in lower case; words joined by single spaces. Code, quoted phrases, addresses, paths and names of identifiers are left out."""
+    s = QUOTED.sub(" ", s)
+    s = " ".join(w for w in s.split() if not (w.isascii() and any(c in w for c in "/\\@")))
+    s = WORD.sub(lambda m: " " if NAME.search(m.group()) else m.group(), s)
+    return JUNK.sub(" ", s).strip().lower()
 
 
 HAN = regex.compile(r"\p{Han}")

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, insort
 from collections import defaultdict
 
 import numpy as np
@@ -51,7 +52,7 @@ _CITY = r"[A-ZÀ-Þ][\w'’\-]+(?: [A-ZÀ-Þ][\w'’\-]+)?"
 _FLAT = r"(?:(?:Flat|Apt|Apartment|Unit|Suite|Room|Wohnung|Apto|Piso)\.? ?#?\w{1,5},? )?"
 PATTERNS["address"] = [
     ("english", re.compile(rf"(?<![\w.])({_FLAT}\d{{1,5}}[A-Za-z]?,? (?:[A-ZÀ-Þ][\w'’\-]+ ){{1,3}}{_ENGLISH}\.?)(?=,? ?{_CITY}|\n|$)(?:, {_CITY}(?: \d{{3,6}})?)?")),
-    ("german", re.compile(rf"(?<![\w.])({_FLAT}(?:[A-ZÀ-Þ][\w\-]*(?:straße|strasse|str\.|weg|platz|gasse|allee|ring|damm|ufer|graben|steig)|(?:[A-ZÀ-Þ][\w\-]+ )(?:Straße|Weg|Platz|Gasse|Allee|Ring)) \d{{1,4}} ?[a-z]?)(?![\w])(?:, (?:\d{{4,5}} )?{_CITY})?")),
+    ("german", re.compile(rf"(?<![\w.\-])({_FLAT}(?:[A-ZÀ-Þ][\w\-]{{0,40}}(?:straße|strasse|str\.|weg|platz|gasse|allee|ring|damm|ufer|graben|steig)|(?:[A-ZÀ-Þ][\w\-]{{1,40}} )(?:Straße|Weg|Platz|Gasse|Allee|Ring)) \d{{1,4}} ?[a-z]?)(?![\w])(?:, (?:\d{{4,5}} )?{_CITY})?")),
     ("latin", re.compile(rf"(?<![\w.])({_FLAT}(?:Rua|Calle|Avenida|Av\.|Plaza|Praça|Paseo|Camino|Travessa|Largo|Carrer|Ronda|Estrada|Via|Piazza) (?:d[aeo]s?l? |del |de la |de las |de los )?[A-ZÀ-Þ][\w'’\-]+(?: (?:[A-ZÀ-Þ][\w'’\-]+|d[aeo]s?))*,? \d{{1,5}}\w?)(?!\w)(?:, {_CITY})?")),
     ("french", re.compile(rf"(?<![\w.])({_FLAT}\d{{1,4}}(?: ?(?:bis|ter))?,? (?:rue|avenue|av\.|boulevard|bd|place|quai|chemin|impasse|allée|cours|passage|route|square) (?:de |du |des |de la |d['’]|de l['’])?(?:la |l['’])?[A-ZÀ-Þ][\w'’\-]+(?: [A-ZÀ-Þ][\w'’\-]+)*)(?:, (?:\d{{5}} )?{_CITY})?")),
 ]
@@ -67,7 +68,10 @@ CUES = {
 CUES = {k: (re.compile(a[:-1] + r"\Z"), re.compile(b), re.compile(c[:-1] + r"\Z")) for k, (a, b, c) in CUES.items()}
 #: What follows names of products and places.
 PRODUCT = re.compile(r"(?: [A-Z][\w\-]+)? (?:owns that|upgrade|channel|view is|import\.|release|module|service|parser|gateway|queue|cache|store|index|sync|mode|runner|metrics|api|sdk|library|framework|board)\b")
-INITIAL = re.compile(r"[^\W\d_]\.")
+#: Words above this many letters are no names.
+LONGEST_NAME = 60
+TAIL = re.compile(r" [^\W\d_]\.(?![^\W\d_])")
+REMOTE = re.compile(r":[\w.~\-]*/")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?(?:-[^\W\d_]+(?:['’][^\W\d_]+)?)*")
 PARTICLES = ("van der ", "van den ", "von der ", "de la ", "van ", "von ", "de ", "da ", "do ", "dos ", "del ", "di ", "du ", "der ", "ten ")
 
@@ -101,6 +105,8 @@ class Gazetteer:
         """(given, family) strength of a word, 0 for neither."""
         got = self.known.get(word)
         if got is None:
+            if len(word) > LONGEST_NAME:
+                return 0, 0
             w = word.lower()
             w = w[:-2] if w.endswith(("'s", "’s")) else w
             given = 2 if w in self.given else int(self._made(w, 0))
@@ -156,7 +162,7 @@ def name_spans(text: str, gazetteer: Gazetteer) -> list[tuple[int, int, str, int
             else:
                 break
             strength, end, n = min(strength, max(g2, f2)), e2, n + 1
-        tail = re.match(r" [^\W\d_]\.(?![^\W\d_])", text[end:])
+        tail = TAIL.match(text, end)
         if tail and form.endswith("g") and text[end + 1].isupper():
             end, form = end + 3, form + "i"
         if text[end - 2 : end] in ("'s", "’s"):
@@ -177,10 +183,14 @@ def _cue(kind: str, text: str, a: int, b: int) -> int:
 
 def find_spans(text: str, gazetteer: Gazetteer) -> list[tuple[str, int, int, str, tuple[int, ...]]]:
     """(kind, start, end, form, votes) of the candidates of a text. Overlaps go to the kind listed first, then to the earlier span. Votes: pattern, word list, context, shape."""
-    out, taken = [], []
+    out, taken = [], []  # taken: spans in order, none of them over another
 
     def free(a, b):
-        return all(b <= x or a >= y for x, y in taken)
+        i = bisect_left(taken, (a, a))
+        return (i == len(taken) or taken[i][0] >= b) and (i == 0 or taken[i - 1][1] <= a)
+
+    def take(a, b):
+        insort(taken, (a, b))
 
     has_at = "@" in text or "%40" in text or "[at]" in text or "(at)" in text
     has_digit = any(c in text for c in "0123456789")
@@ -190,13 +200,13 @@ def find_spans(text: str, gazetteer: Gazetteer) -> list[tuple[str, int, int, str
                 a, b = m.span()
                 domain, local = m.group(2), m.group(1)
                 real = not re.search(r"(?:^|\.)[\d.]+$", domain) and re.search(r"[^\W\d_]{2,}$", domain) is not None
-                scp = text[b : b + 1] == ":" and re.match(r":[\w./~\-]*/", text[b:]) is not None
+                scp = REMOTE.match(text, b) is not None
                 words = re.findall(r"[^\W\d_]+", local)
                 listed = any(max(gazetteer.look(w)) for w in words) or any(max(gazetteer.look(w[1:])) for w in words if len(w) > 4)
                 shape = -1 if scp or local.lower() in ("git", "svn", "hg", "root", "npm", "noreply", "no-reply") else 1
                 plain = re.search(r"\S@\S", m.group()) is not None
                 out.append(("email", a, b, "plain" if plain else "spelt", (1 if real else -1, 1 if listed else 0, _cue("email", text, a, b), shape)))
-                taken.append((a, b))
+                take(a, b)
     if has_digit:
         for kind in ("id_number", "phone"):
             for form, p in PATTERNS[kind]:
@@ -207,21 +217,21 @@ def find_spans(text: str, gazetteer: Gazetteer) -> list[tuple[str, int, int, str
                         near = text[max(0, a - 1) : a] + text[b : b + 1]
                         shape = 1 if kind == "id_number" or 9 <= digits <= 15 else -1
                         out.append((kind, a, b, form, (1, 0, _cue(kind, text, a, b), -1 if re.search(r"[\w:#=]", near.replace("=", "")) and near[:1] != ":" else shape)))
-                        taken.append((a, b))
+                        take(a, b)
         for form, p in PATTERNS["address"]:
             for m in p.finditer(text):
                 a, b = m.span()
                 if free(a, b):
                     place = b > m.end(1)
                     out.append(("address", a, b, form, (1, 1 if place else 0, _cue("address", text, a, b), 0)))
-                    taken.append((a, b))
+                    take(a, b)
     for a, b, form, strength in name_spans(text, gazetteer):
         if free(a, b):
-            product = PRODUCT.match(text[b:]) is not None
+            product = PRODUCT.match(text, b) is not None
             word = text[a:b]
             shape = 1 if len(form) > 1 else 0
             out.append(("name", a, b, form if len(form) < 5 else "long", (-1 if product else 1 if not word.islower() else 0, strength, _cue("name", text, a, b), shape)))
-            taken.append((a, b))
+            take(a, b)
     return out
 
 
