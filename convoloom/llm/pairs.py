@@ -21,8 +21,8 @@ from convoloom.llm.language import LANGS, SPELLINGS, Reader, train, training_sam
 from convoloom.session import settle, table
 
 CODE = regex.compile(r"```.*?```|`[^`\n]*`", regex.S)
-ENDS = regex.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|(?<=[。！？])[”’」』）]*\s*|\n+")
-FINAL = regex.compile(r"[.!?。！？][\"'”’»“）)\]」』*_]*$")
+ENDS = regex.compile(r"(?<=[.!?…])[\"'”’»)\]]*+\s++|(?<=[。！？])(?![。！？])[”’」』）]*+\s*+|\n++")
+CLOSERS = "\"'”’»“）)]」』*_"
 MARKS = regex.compile(r"^\s*(?:[>#*\-]+|\d+[.)])\s+")
 HIDDEN = "​‌‍⁠﻿­\xa0　 \t\r\n"
 HAN = regex.compile(r"\p{Han}")
@@ -55,11 +55,16 @@ ASKED = regex.compile(r"(?:\b(?:answer|reply|respond|write|text|translat\w+|antw
 NAMES = {w: k for k, v in SPELLINGS.items() for w in v.split()} | {"英文": "en", "英语": "en", "德语": "de", "德文": "de", "法语": "fr", "法文": "fr", "西班牙语": "es", "葡萄牙语": "pt", "葡语": "pt"}
 
 
+def ends_well(s: str) -> bool:
+    """Whether a text ends with a sentence's end, quotes and brackets aside."""
+    return s.rstrip(CLOSERS).endswith((".", "!", "?", "。", "！", "？"))
+
+
 def skeleton(s: str) -> str:
     """A sentence with code, numbers, marks and white space made equal, without what ends it, in lower case."""
     s = CODE.sub("`x`", MARKS.sub("", s))
     s = regex.sub(r"\d+", "9", s)
-    return regex.sub(r"[\s.!?。！？…\"'”’»“）)\]」』]+$", "", regex.sub(r"\s+", " ", s).strip()).lower()
+    return " ".join(s.split()).rstrip(" .!?。！？…\"'”’»“）)]」』").lower()
 
 
 def variants(k: str) -> list[str]:
@@ -82,9 +87,9 @@ def parts(text: str | None) -> tuple[list[str], str | None]:
     """Skeletons of the finished sentences of a text, and that of its unfinished last fragment if prose ends it."""
     text = (text or "").strip(HIDDEN)
     pieces = [p for p in ENDS.split(text) if p and p.strip()]
-    done = [skeleton(p) for p in pieces if FINAL.search(p.rstrip())]
+    done = [skeleton(p) for p in pieces if ends_well(p.rstrip())]
     last = pieces[-1].rstrip() if pieces else ""
-    open_ = bool(last) and not FINAL.search(last)
+    open_ = bool(last) and not ends_well(last)
     return [k for k in done if len(k) > 8], skeleton(last) if open_ else None
 
 
@@ -122,7 +127,7 @@ def stops_short(answer: str, known: str | None, at_limit: bool) -> bool:
     if text.count("```") % 2:
         return True
     last = text.rsplit("\n", 1)[-1].strip()
-    if text.endswith("```") or FINAL.search(last):
+    if text.endswith("```") or ends_well(last):
         return False
     if last.count("`") % 2:
         return True
@@ -168,11 +173,11 @@ def last_fragments(pairs: DataFrame) -> DataFrame:
     both = finished.withColumn("done", F.lit(1)).unionByName(asked.withColumn("done", F.lit(0))).groupBy("k").agg(F.max("done").alias("done"), F.min("done").alias("ask"))
     sorted_ = settle(both.repartitionByRange("k").sortWithinPartitions("k").select("*", F.spark_partition_id().alias("piece"), F.monotonically_increasing_id().alias("g")), "neighbours")
     heads = sorted_.where("done = 1").groupBy("piece").agg(F.min_by("k", "g").alias("head"))
-    w = Window.partitionBy("piece").orderBy("g").rowsBetween(1, Window.unboundedFollowing)
-    near = sorted_.withColumn("after", F.first(F.when(F.col("done") == 1, F.col("k")), ignorenulls=True).over(w)).where("ask = 0")
+    w = Window.partitionBy("piece").orderBy(F.desc("g")).rowsBetween(Window.unboundedPreceding, -1)
+    near = sorted_.withColumn("after", F.last(F.when(F.col("done") == 1, F.col("k")), ignorenulls=True).over(w)).where("ask = 0")
     # one head for each piece: as many as shuffle partitions
     pieces = sorted_.select("piece").distinct().join(heads, "piece", "left")
-    following = pieces.select("piece", F.first("head", ignorenulls=True).over(Window.orderBy("piece").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    following = pieces.select("piece", F.last("head", ignorenulls=True).over(Window.orderBy(F.desc("piece")).rowsBetween(Window.unboundedPreceding, -1)).alias("later"))
     near = near.join(F.broadcast(following), "piece", "left").withColumn("after", F.coalesce("after", "later"))
     known = near.select("k", F.when(F.col("done") == 1, F.when(F.col("k").startswith("s"), 0).otherwise(1)).when(F.col("k").startswith("s") & F.col("after").startswith(F.col("k")), 2).otherwise(3).alias("n"))
     # whole sentence beats shortened sentence beats known ending
