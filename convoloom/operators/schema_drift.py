@@ -12,6 +12,7 @@ from __future__ import annotations
 import difflib
 import json
 import re
+from itertools import groupby
 
 import pyarrow as pa
 import xxhash
@@ -143,17 +144,27 @@ def schema_changes(flat: DataFrame) -> DataFrame:
     overlap = F.theta_sketch_estimate(F.theta_intersection("s1", "s2")) / F.greatest(F.lit(1), F.least(F.theta_sketch_estimate("s1"), F.theta_sketch_estimate("s2")))
     edges = edges.select(*DROP, "field", "new_field", overlap.cast("double").alias("overlap"))
 
-    def match(pdf):
-        rows, cols = sorted(set(pdf["field"])), sorted(set(pdf["new_field"]))
-        w = [[0.0] * len(cols) for _ in rows]
-        for f, g, o in zip(pdf["field"], pdf["new_field"], pdf["overlap"]):
-            w[rows.index(f)][cols.index(g)] = 1.0 + o + name_likeness(f, g)
-        got = [(rows[i], cols[j]) for i, j in enumerate(best_matching(w)) if j >= 0]
-        out = pdf.iloc[[0] * len(got)][DROP].reset_index(drop=True)
-        out["field"], out["new_field"] = [f for f, _ in got], [g for _, g in got]
-        return out
-
-    renamed = settle(edges.groupBy(*DROP).applyInPandas(match, "install_id string, feed string, drop_no int, field string, new_field string"), "drift-renamed")
+    def match(batches):
+        # rows come sorted, so a drop is a run of rows; only one drop's edges are held at a time
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        out = []
+        for drop, group in groupby(rows, key=lambda r: r[:3]):
+            weight = {(f, g): 1.0 + o + name_likeness(f, g) for _, _, _, f, g, o in group}
+            old_, new_ = sorted({f for f, _ in weight}), sorted({g for _, g in weight})
+            got = best_matching([[weight.get((f, g), 0.0) for g in new_] for f in old_])
+            out += [(*drop, old_[i], new_[j]) for i, j in enumerate(got) if j >= 0]
+            if len(out) > 5000:
+                yield as_batch(out)
+                out = []
+        yield as_batch(out)
+
+    def as_batch(rows):
+        types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=[*DROP, "field", "new_field"])
+
+    parts = int(flat.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = edges.repartition(parts, *DROP).sortWithinPartitions(*DROP).select(*DROP, "field", "new_field", "overlap")
+    renamed = settle(runs.mapInArrow(match, "install_id string, feed string, drop_no int, field string, new_field string"), "drift-renamed")
     key = [*DROP, "path"]
     removed = gone.select(*key).join(renamed.withColumnRenamed("field", "path").select(*key), key, "left_anti")
     added = new.select(*key).join(renamed.withColumnRenamed("new_field", "path").select(*key), key, "left_anti")
