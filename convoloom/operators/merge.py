@@ -12,8 +12,8 @@ import math
 import re
 from bisect import bisect_left
 from collections.abc import Sequence
+from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,79 +24,117 @@ from convoloom.operators.messages import messages
 from convoloom.operators.replicas import instances
 from convoloom.session import table
 
-#: Keys of a side above which a session is first cut at keys that occur once on both sides, in order.
-LARGE = 20_000
-
-
-def _row(a_key, b: np.ndarray, below: np.ndarray) -> np.ndarray:
-    """Row of longest common suffix lengths from the row below it. Along a row the lengths fall, so the recurrence is a running maximum from the right."""
-    best = np.where(b == a_key, below[1:] + 1, below[:-1])
-    return np.append(np.maximum.accumulate(best[::-1])[::-1], below[-1:] * 0)
+#: Pairs of equal keys up to which an alignment keeps thresholds; above, and above eight for each key, it keeps bits. Both give the same pairs.
+LARGE = 5_000_000
+#: Bytes of masks kept at once by lcs_pairs.
+MASKS = 1 << 26
 
 
 def lcs_pairs(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence. Equal heads always pair; of equal prospects the head of a is skipped. Memory is len(b) times the root of len(a)."""
-    codes = {k: i for i, k in enumerate(dict.fromkeys([*a, *b]))}
-    x, y = np.array([codes[k] for k in a], np.int64), np.array([codes[k] for k in b], np.int64)
+    """Index pairs of a longest common subsequence. Equal heads always pair; of equal prospects the head of a is skipped.
+
+    A column of suffix lengths is held as the bits of its steps along a, so a column takes a few operations on one long
+    number. Memory is len(a) times the root of len(b), in bits.
+    """
+    shared = set(b)
+    at = [i for i, k in enumerate(a) if k in shared]  # what b lacks is skipped at once
+    x, y = [a[i] for i in at], list(b)
     n, m = len(x), len(y)
     if not n or not m:
         return []
-    step = max(1, math.isqrt(n - 1) + 1)
-    rows, kept = np.zeros(m + 1, np.int32), {n: np.zeros(m + 1, np.int32)}
-    for i in range(n - 1, -1, -1):
-        rows = _row(x[i], y, rows)
-        if i % step == 0:
-            kept[i] = rows
-    out, i, j = [], 0, 0
-    while i < n and j < m:
-        stop = min(n, (i // step + 1) * step)
+    places: dict = {}
+    for i, k in enumerate(x):
+        places.setdefault(k, []).append(n - 1 - i)
+    width = (n + 7) // 8
+
+    @lru_cache(max(16, MASKS // width))
+    def mask(k) -> int:
+        bits = bytearray(width)
+        for p in places[k]:
+            bits[p >> 3] |= 1 << (p & 7)
+        return int.from_bytes(bits, "little")
+
+    full = (1 << n) - 1
+
+    def before(column: int, k) -> int:
+        """The column of k from the one behind it. A bit is 0 where the length grows by one."""
+        if k not in places:
+            return column
+        hit = column & mask(k)
+        return ((column + hit) | (column - hit)) & full
+
+    step = max(1, math.isqrt(m - 1) + 1)
+    column, kept = full, {m: full}
+    for j in range(m - 1, -1, -1):
+        column = before(column, y[j])
+        if j % step == 0:
+            kept[j] = column
+    left = n - column.bit_count()
+    out, i = [], 0
+    for start in range(0, m, step):
+        stop = min(m, start + step)
         block = [kept[stop]]
-        for k in range(stop - 1, i - 1, -1):
-            block.append(_row(x[k], y, block[-1]))
-        block.reverse()
-        start = i
-        while i < stop and j < m:
-            if block[i - start][j] == 0:
+        for j in range(stop - 1, start - 1, -1):
+            block.append(before(block[-1], y[j]))
+        for j in range(start, stop):
+            if not left:
                 return out
-            if x[i] == y[j]:
-                out.append((i, j))
-                i, j = i + 1, j + 1
-            elif block[i - start + 1][j] >= block[i - start][j + 1]:
+            bits, k = block.pop().to_bytes(width, "little"), y[j]
+            while x[i] != k and bits[(n - 1 - i) >> 3] >> ((n - 1 - i) & 7) & 1:
                 i += 1
+            if x[i] == k:
+                out.append((at[i], j))
+                i, left = i + 1, left - 1
+    return out
+
+
+def threshold_pairs(a: Sequence, b: Sequence, where: dict) -> list[tuple[int, int]]:
+    """The pairs of lcs_pairs, in time and memory that grow with the pairs of equal keys. where: the places of each key in a and in b.
+
+    For each length the last place of a from which it is still reached, as b grows from its end; the path reads the
+    changes of these places backwards.
+    """
+    last: list[int] = []  # negative, so that they rise
+    changes: list[tuple[list[int], list[int]]] = []
+    for j in range(len(b) - 1, -1, -1):
+        for i in where[b[j]][0]:
+            k = bisect_left(last, -i)
+            if k == len(last):
+                last.append(-i)
+                changes.append(([], []))
+            elif last[k] == -i:
+                continue
             else:
-                j += 1
+                last[k] = -i
+            changes[k][0].append(j)
+            changes[k][1].append(i)
+    out, i, j = [], 0, 0
+    while changes:
+        since, places = changes.pop()
+        while since[-1] < j:
+            since.pop()
+            places.pop()
+        own = where[b[j]][0]
+        k = bisect_left(own, i)
+        if k < len(own) and own[k] <= places[-1]:
+            i = own[k]
+        else:
+            i = places[-1]
+            others = where[a[i]][1]
+            j = others[bisect_left(others, j)]
+        out.append((i, j))
+        i, j = i + 1, j + 1
     return out
 
 
 def anchored_pairs(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
-    """lcs_pairs, where a large input is first cut at an increasing chain of keys that occur once on each side. Between the cuts it is exact; a chain of cuts may rarely be shorter than the longest subsequence."""
-    if len(a) <= LARGE or len(b) <= LARGE:
-        return lcs_pairs(a, b)
-    where = {}
+    """lcs_pairs at every size, by thresholds where few keys are equal."""
+    where: dict = {}
     for side, keys in enumerate((a, b)):
         for i, k in enumerate(keys):
             where.setdefault(k, ([], []))[side].append(i)
-    unique = sorted((p[0][0], p[1][0]) for p in where.values() if len(p[0]) == 1 and len(p[1]) == 1)
-    tails, back, ends = [], [-1] * len(unique), []
-    for n, (_, j) in enumerate(unique):
-        k = bisect_left(tails, j)
-        back[n] = ends[k - 1] if k else -1
-        if k == len(ends):
-            ends.append(n)
-            tails.append(j)
-        else:
-            ends[k], tails[k] = n, j
-    chain, n = [], ends[-1] if ends else -1
-    while n >= 0:
-        chain.append(unique[n])
-        n = back[n]
-    out, i, j = [], 0, 0
-    for p, q in [*reversed(chain), (len(a), len(b))]:
-        out += [(i + s, j + t) for s, t in lcs_pairs(a[i:p], b[j:q])]
-        if p < len(a):
-            out.append((p, q))
-        i, j = p + 1, q + 1
-    return out
+    few = sum(len(p) * len(q) for p, q in where.values()) <= max(LARGE, 8 * (len(a) + len(b)))
+    return threshold_pairs(a, b, where) if few else lcs_pairs(a, b)
 
 
 def align(a: Sequence, b: Sequence, key, compatible) -> list[tuple[int | None, int | None]]:
@@ -242,24 +280,46 @@ ALIGNED = "session_id string, pos int, composer_msg bigint, store_msg bigint, so
 def align_stacks(rows: DataFrame) -> DataFrame:
     """ALIGNED of rows (session_id, msg_id, stack, role, key bigint, class): composer and both make the one side, store and both the other, in order of msg_id.
 
-    Rows of class empty pair with any message of their role inside a gap. A session meets in one task, by hashes only;
-    sessions above LARGE messages a side are cut at common unique keys first.
+    Rows of class empty pair with any message of their role inside a gap. A session meets in one task, by hashes only,
+    and comes there as sorted rows, never as one value.
     """
-    packed = rows.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("msg_id", "stack", "role", "key", "class"))).alias("m"))
+    columns = ["session_id", "msg_id", "stack", "role", "key", "class"]
+    types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+    key = lambda x, side, i: (x[1], x[2]) if x[3] == "real" else ("weak", side, i)
+    fits = lambda x, y: x[1] == y[1] and (x[3] == y[3] if "corrupt" in (x[3], y[3]) else x[2] == y[2] if x[3] == y[3] == "real" else True)
+
+    def sessions(batches):
+        """session_id and both sides, rows of (msg_id, role, key, class)."""
+        session, sides = None, ([], [])
+        for b in batches:
+            for s, msg, stack, *rest in zip(*(c.to_pylist() for c in b.columns)):
+                if s != session:
+                    yield session, sides
+                    session, sides = s, ([], [])
+                for side, name in zip(sides, ("composer", "store")):
+                    if stack in (name, "both"):
+                        side.append((msg, *rest))
+        yield session, sides
 
     def go(batches):
-        for b in batches:
-            out = []
-            for session, ms in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                sides = [[x for x in ms if x["stack"] in (name, "both")] for name in ("composer", "store")]
-                key = lambda x, side, i: (x["role"], x["key"]) if x["class"] == "real" else ("weak", side, i)
-                fits = lambda x, y: x["role"] == y["role"] and (x["class"] == y["class"] if "corrupt" in (x["class"], y["class"]) else x["key"] == y["key"] if x["class"] == y["class"] == "real" else True)
-                for n, (i, j) in enumerate(align(*sides, key, fits)):
-                    out.append((session, n + 1, sides[0][i]["msg_id"] if i is not None else None, sides[1][j]["msg_id"] if j is not None else None, "both" if i is not None and j is not None else "composer" if i is not None else "store"))
-            types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=[c.split()[0] for c in ALIGNED.split(", ")])
-
-    return packed.mapInArrow(go, ALIGNED)
+        out = [[] for _ in types]
+
+        def taken():
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=[c.split()[0] for c in ALIGNED.split(", ")])
+            for c in out:
+                c.clear()
+            return batch
+
+        for session, sides in sessions(batches):
+            for n, (i, j) in enumerate(align(*sides, key, fits)):
+                row = (session, n + 1, sides[0][i][0] if i is not None else None, sides[1][j][0] if j is not None else None, "both" if i is not None and j is not None else "composer" if i is not None else "store")
+                for c, v in zip(out, row):
+                    c.append(v)
+                if len(out[0]) == 10_000:
+                    yield taken()
+        yield taken()
+
+    return rows.select(columns).repartition("session_id").sortWithinPartitions(columns).mapInArrow(go, ALIGNED)
 
 
 def hashed_messages(m: DataFrame, key: Column) -> DataFrame:

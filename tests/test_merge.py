@@ -48,6 +48,22 @@ def test_large_inputs_keep_order(monkeypatch):
         assert [i for i, _ in union if i is not None] == list(range(len(a))) and [j for _, j in union if j is not None] == list(range(len(b)))
 
 
+@given(st.lists(st.integers(0, 9), max_size=40), st.lists(st.integers(0, 9), max_size=40))
+def test_thresholds_and_bits_agree(a, b):
+    assert m.anchored_pairs(a, b) == slow(a, b)
+
+
+def test_a_moved_unique_key_costs_no_pairs():
+    n = 20_001
+    got = m.anchored_pairs(["U"] + ["R"] * n, ["R"] * n + ["U"])
+    assert len(got) == n and all(q == p - 1 for p, q in got)
+    rng = random.Random(2)
+    a = list(range(50_000))
+    b = [i for i in a if rng.random() < 0.9]
+    moved = [b[-1], *b[:-1]]
+    assert len(m.anchored_pairs(a, moved)) == len(b) - 1
+
+
 def test_gaps_pair_fillable_messages():
     composer = [{"id": "c1", "role": "user", "content": "hi"}, {"id": "c2", "role": "assistant", "content": "[empty message]"}, {"id": "c3", "role": "user", "content": "bye"}]
     store = [{"role": "user", "content": "<user_query>hi</user_query>", "ms": 5}, {"role": "assistant", "content": "text"}, {"role": "assistant", "content": "more"}, {"role": "user", "content": "bye"}]
@@ -77,3 +93,11 @@ def test_stacks_on_frames(spark):
     got = sorted((r["session_id"], r["pos"], r["composer_msg"], r["store_msg"], r["source"]) for r in m.align_stacks(df).collect())
     assert got == [("s", 1, 1, 1, "both"), ("s", 2, 2, None, "composer"), ("s", 3, None, 3, "store"), ("s", 4, 4, 4, "both"), ("t", 1, None, 5, "store")]
     assert m.align_stacks(df.limit(0)).count() == 0
+
+
+def test_long_sessions_on_frames(spark):
+    n = 20_001
+    rows = spark.range(n).selectExpr("'s' as session_id", "id + 1 as msg_id", "'both' as stack", "'user' as role", "7L as key", "'real' as class")
+    ends = spark.createDataFrame([("s", 0, "composer", "user", 8, "real"), ("s", n + 1, "store", "user", 8, "real"), (None, 1, "both", "user", 1, "real")], "session_id string, msg_id bigint, stack string, role string, key bigint, class string")
+    got = {(r["session_id"], r["source"]): r["count"] for r in m.align_stacks(rows.union(ends)).groupBy("session_id", "source").count().collect()}
+    assert got == {("s", "both"): n, ("s", "composer"): 1, ("s", "store"): 1, (None, "both"): 1}
