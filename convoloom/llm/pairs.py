@@ -24,6 +24,7 @@ CODE = regex.compile(r"```.*?```|`[^`\n]*`", regex.S)
 ENDS = regex.compile(r"(?<=[.!?…])[\"'”’»)\]]*+\s++|(?<=[。！？])(?![。！？])[”’」』）]*+\s*+|\n++")
 CLOSERS = "\"'”’»“）)]」』*_"
 MARKS = regex.compile(r"^\s*(?:[>#*\-]+|\d+[.)])\s+")
+LAST_MARK = regex.compile(r"\n\s*(?:[-*+•]|(\d+)[.)])\s*$")
 HIDDEN = "​‌‍⁠﻿­\xa0　 \t\r\n"
 HAN = regex.compile(r"\p{Han}")
 WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+")
@@ -60,6 +61,13 @@ def ends_well(s: str) -> bool:
     return s.rstrip(CLOSERS).endswith((".", "!", "?", "。", "！", "？"))
 
 
+def open_mark(text: str) -> bool:
+    """Whether a text's last line is a list's mark and no more. A number must be a list's first or follow one of the list; any other is a value."""
+    found = LAST_MARK.search(text)
+    n = int(found[1] or 0) if found else 0
+    return bool(found) and (n <= 1 or bool(regex.search(rf"^\s*0*{n - 1}[.)]\s", text, regex.M)))
+
+
 def skeleton(s: str) -> str:
     """A sentence with code, numbers, marks and white space made equal, without what ends it, in lower case."""
     s = CODE.sub("`x`", MARKS.sub("", s))
@@ -89,7 +97,7 @@ def parts(text: str | None) -> tuple[list[str], str | None]:
     pieces = [p for p in ENDS.split(text) if p and p.strip()]
     done = [skeleton(p) for p in pieces if ends_well(p.rstrip())]
     last = pieces[-1].rstrip() if pieces else ""
-    open_ = bool(last) and not ends_well(last)
+    open_ = bool(last) and (not ends_well(last) or open_mark(text))
     return [k for k in done if len(k) > 8], skeleton(last) if open_ else None
 
 
@@ -124,7 +132,7 @@ def asked_language(question: str) -> str | None:
 def stops_short(answer: str, known: str | None, at_limit: bool) -> bool:
     """Whether an answer stops before its end. known: what the corpus says of its last fragment (finished, tail, shortened, unknown)."""
     text = answer.strip(HIDDEN)
-    if text.count("```") % 2:
+    if text.count("```") % 2 or open_mark(text):
         return True
     last = text.rsplit("\n", 1)[-1].strip()
     if text.endswith("```") or ends_well(last):

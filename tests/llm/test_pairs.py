@@ -56,6 +56,16 @@ def test_stops():
     assert p.stops_short("[Tool: Read File]\nFile: /a", None, False) and not p.stops_short("[Tool: Read File]\nFile: /a\nStatus: ✓ completed", None, False)
 
 
+@pytest.mark.parametrize("text", ["1. Open the file.\n2. Read it.\n3.", "1) Open it.\n2)", "The steps are these.\n1.", "- Open it.\n-", "- Open it.\n* ", "9. Open it.\n\n10. "])
+def test_bare_list_marks_stop_short(text):
+    assert p.stops_short(text, None, False) and p.parts(text)[1] is not None
+
+
+@pytest.mark.parametrize("text", ["42.", "How many rows are there:\n42.", "1. Open it.\n2. Read it.", "It is done.\n---", "It starts at version\n3."])
+def test_no_bare_list_marks(text):
+    assert not p.open_mark(text)
+
+
 def test_frames(spark):
     docs = spark.createDataFrame(DOCS * 5, "lang string, text string")
     full = "We should check the cache before the next release. Nothing else has changed since last week."
