@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoloom.session import table
+from convoloom.session import settle, table
 
 LANGS = ("de", "en", "es", "fr", "pt", "zh")
 # Usual spellings of labels, compared in lower case up to the first - or _.
@@ -260,15 +260,22 @@ def join_sentences(spans, bits) -> list[tuple[str, int, int, float]]:
 
 
 def training_sample(df: DataFrame, text: str, label: str, per_label: int = SAMPLE) -> list[tuple[str, str]]:
-    """About per_label documents of each label, picked by a hash of their text: two passes, the first over labels only."""
-    named = df.select(text, label_of(F.col(label)).alias("l"))
-    counts = {r["l"]: r["n"] for r in df.select(label_of(F.col(label)).alias("l")).groupBy("l").agg(F.count("*").alias("n")).collect() if r["l"]}
+    """The per_label distinct texts of each label whose hashes come first, whole and in that order, so that neither copies nor the order of rows decide. Two passes, the first over hashes only."""
+    rows = df.where(F.length(text) > 0).select(label_of(F.col(label)).alias("l"), F.xxhash64(text).alias("h"), F.col(text).alias("t")).where("l is not null")
+    distinct = settle(rows.select("l", "h").distinct(), "hashes")
+    counts = {r["l"]: r["n"] for r in distinct.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_label / n))]), F.col("l"))
-    picked = named.where((F.col("l").isNotNull()) & (F.length(text) > 0) & (F.pmod(F.xxhash64(text), F.lit(1 << 20)) < share * (1 << 20)))
-    got = picked.select("l", F.substring(text, 1, 20000).alias("t")).limit(4 * per_label * len(LANGS)).collect()
-    return [(r["l"], r["t"]) for r in got]
+    # a margin of hashes reaches the driver, of which the first per_label count
+    place = F.pmod("h", F.lit(1 << 40))
+    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (2 * per_label + 100) / n))]), F.col("l"))
+    near: dict[str, list] = {}
+    for r in distinct.where(place < share * (1 << 40)).select("l", "h", place.alias("p")).collect():
+        near.setdefault(r["l"], []).append((r["p"], r["h"]))
+    first = {(k, h): n for k, v in near.items() for n, (_, h) in enumerate(sorted(v)[:per_label])}
+    wanted = F.broadcast(df.sparkSession.createDataFrame(list(first), "l string, h bigint"))
+    got = rows.join(wanted, ["l", "h"]).groupBy("l", "h").agg(F.min("t").alias("t")).collect()
+    return [(r["l"], r["t"]) for r in sorted(got, key=lambda r: (first[r["l"], r["h"]], r["l"]))]
 
 
 def read_languages(df: DataFrame, key: str, text: str, label: str, per_label: int = SAMPLE) -> DataFrame:

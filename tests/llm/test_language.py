@@ -98,3 +98,14 @@ def test_held_out_labels(spark, sf):
     got = g.read_languages(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text", "lang").collect()
     one = [r for r in got if len(r["segments"]) == 1 and r["label"]]
     assert sum(r["label"] == r["segments"][0]["lang"] for r in one) / len(one) > 0.8
+
+
+def test_training_takes_distinct_whole_texts(spark):
+    hot = "A hot text that many rows repeat. " * 700
+    rows = [("en", hot)] * 300 + [("en", f"English text number {i}.") for i in range(60)] + [("de", f"Deutscher Text Nummer {i}.") for i in range(60)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    got = g.training_sample(df, "text", "lang", 1000)
+    assert sorted(got) == sorted(set(rows))
+    some = g.training_sample(df, "text", "lang", 10)
+    assert len(some) == len(set(some)) == 20 and {k: sum(x == k for x, _ in some) for k in ("en", "de")} == {"en": 10, "de": 10}
+    assert g.training_sample(df.orderBy("text").repartition(3), "text", "lang", 10) == some
