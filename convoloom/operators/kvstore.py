@@ -27,7 +27,7 @@ def bubble_counts(kv: DataFrame) -> DataFrame:
 
 def composer_records(kv: DataFrame) -> DataFrame:
     """session_id, v of keys composerData:session whose value is a JSON object; others are dropped."""
-    got = kv.where(F.startswith("key", F.lit("composerData:")) & F.col("value").isNotNull()).select(F.substring("key", 14, 200).alias("session_id"), F.try_parse_json("value").alias("v"))
+    got = kv.where(F.startswith("key", F.lit("composerData:")) & F.col("value").isNotNull()).select(F.expr("substring(key, 14)").alias("session_id"), F.try_parse_json("value").alias("v"))
     return got.where(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))
 
 

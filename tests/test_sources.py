@@ -38,6 +38,12 @@ def test_kv_scan(spark, tmp_path):
         read_kv(spark, str(tmp_path), table="x; drop").count()
 
 
+def test_long_session_ids_stay_whole(spark):
+    long = "s" * 300
+    kv = spark.createDataFrame([(f"composerData:{long}", '{"name": "t"}'), (f"bubbleId:{long}:b", "{}")], "key string, value string")
+    assert [tuple(r) for r in live_sessions(kv, kv).collect()] == [(long, "t", 1)]
+
+
 def test_kv_filters_reach_the_file(spark, tmp_path):
     kv_file(tmp_path / "a.vscdb", [("k1", "v"), ("k2", "w")])
     plan = read_kv(spark, str(tmp_path)).where("key = 'k1'")._jdf.queryExecution().executedPlan().toString()
