@@ -309,10 +309,19 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.where(case).select("doc_id", F.inline("segments")).select("doc_id", "seg_no", "lang")
 
 
+def main_languages(got: DataFrame) -> DataFrame:
+    """What read_languages gives, summed up for each row: the language of most characters of prose, its share of them, its best confidence, and the number of segments. Rows without prose have nulls."""
+    letters = lambda segments: F.aggregate(segments, F.lit(0), lambda a, s: a + s["end_pos"] - s["start_pos"] + 1)
+
+    def summed(lang):
+        own = F.filter("segments", lambda s: s["lang"] == F.lit(lang))
+        return F.struct(letters(own).alias("n"), F.lit(lang).alias("lang"), F.array_max(F.transform(own, lambda s: s["confidence"])).alias("c"))
+
+    top = F.array_max(F.array(*[summed(k) for k in LANGS]))
+    there = lambda c: F.when(F.size("segments") > 0, c)
+    return got.select(got.columns[0], "label", there(top["lang"]).alias("lang"), there(F.round(top["n"] / letters(F.col("segments")), 6)).alias("share"), there(top["c"]).alias("confidence"), F.size("segments").alias("n_segments"))
+
+
 def p10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every document its main language (most characters of prose), the share of it, a confidence, and the number of segments."""
-    got = read_languages(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
-    size = F.aggregate("segments", F.lit(0), lambda a, s: a + s["end_pos"] - s["start_pos"] + 1)
-    sums = F.array(*[F.struct(F.aggregate(F.filter("segments", lambda s, k=k: s["lang"] == k), F.lit(0), lambda a, s: a + s["end_pos"] - s["start_pos"] + 1).alias("n"), F.lit(k).alias("lang"), F.array_max(F.transform(F.filter("segments", lambda s, k=k: s["lang"] == k), lambda s: s["confidence"])).alias("c")) for k in LANGS])
-    top = F.array_max(sums)
-    return got.select("doc_id", "label", F.when(top["n"] > 0, top["lang"]).alias("lang"), F.when(top["n"] > 0, F.round(top["n"] / size, 6)).alias("share"), F.when(top["n"] > 0, top["c"]).alias("confidence"), F.size("segments").alias("n_segments"))
+    """main_languages of every document."""
+    return main_languages(read_languages(table(spark, sf_dir, "documents"), "doc_id", "text", "lang"))

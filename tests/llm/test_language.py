@@ -109,3 +109,26 @@ def test_training_takes_distinct_whole_texts(spark):
     some = g.training_sample(df, "text", "lang", 10)
     assert len(some) == len(set(some)) == 20 and {k: sum(x == k for x, _ in some) for k in ("en", "de")} == {"en": 10, "de": 10}
     assert g.training_sample(df.orderBy("text").repartition(3), "text", "lang", 10) == some
+
+
+def test_main_languages(spark):
+    schema = "doc_id bigint, label string, segments array<struct<seg_no:int,lang:string,start_pos:int,end_pos:int,confidence:double>>"
+    rows = [(1, "de", [(1, "de", 1, 30, 0.9), (2, "en", 31, 40, 0.8), (3, "de", 41, 100, 1.0)]), (2, None, []), (3, "fr", [(1, "zh", 5, 9, 0.7)])]
+    got = [tuple(r) for r in g.main_languages(spark.createDataFrame(rows, schema)).orderBy("doc_id").collect()]
+    assert got == [(1, "de", "de", 0.9, 1.0, 3), (2, None, None, None, None, 0), (3, "fr", "zh", 1.0, 0.7, 1)]
+
+
+def test_main_languages_agree_with_the_segments(spark, sf):
+    """Against a plain count in Python over the whole table."""
+    from collections import Counter
+
+    want = {}
+    for r in g.read_languages(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text", "lang").collect():
+        size = Counter()
+        for s in r["segments"]:
+            size[s["lang"]] += s["end_pos"] - s["start_pos"] + 1
+        best = max(size, key=lambda k: (size[k], k), default=None)
+        confidence = max((s["confidence"] for s in r["segments"] if s["lang"] == best), default=None)
+        want[r["doc_id"]] = (r["label"], best, round(size[best] / sum(size.values()), 6) if best else None, confidence, len(r["segments"]))
+    got = {r["doc_id"]: tuple(r)[1:] for r in g.p10_languages(spark, sf).collect()}
+    assert got == want and all(c is None or 0 < c <= 1 for _, _, _, c, _ in got.values())
