@@ -5,7 +5,7 @@ cleaned by its own verdicts in a second round, because labels may be wrong. The
 exact code length of a text under a language is the sum of what its symbols cost in their longest known contexts,
 with escape costs (method C) on the way down. Trees are stored as sorted arrays of packed contexts with one column for
 each language, so a whole batch of sentences is scored by array lookups. Sentences are compared after code, quoted
-phrases, digits and names of identifiers are taken out; equal remains are scored once per worker.
+phrases, digits and names of identifiers are taken out; equal sentences are scored once per worker, in blocks.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +38,8 @@ SAMPLE = 400
 TRAIN_BYTES = 120_000
 #: Bits by which the best language must lead for a sentence to count by itself; below, it follows its neighbours.
 LEAD = 6.0
-REMEMBER = 400_000
+#: Characters of sentences remembered by a worker; with more it forgets all and starts anew.
+REMEMBER = 16_000_000
 
 
 def label_of(lang):
@@ -55,10 +57,12 @@ NOT_PROSE = regex.compile(
 FENCE = regex.compile(r"^\s*(```|~~~)")
 LINES = regex.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
 ENDS = regex.compile(r"(?<![.!?…])[.!?…]++[\"'”’»)\]]*+(?=\s)|(?<![。！？])[。！？]++[”’」』）]*+")
-QUOTED = regex.compile(r"`[^`]*`|\"[^\"]{0,200}\"|“[^“”]{0,200}”|„[^“”„]{0,200}[“”]|«[^»]{0,200}»|「[^」]{0,200}」|‘[^’]{0,200}’|<[^<>]{0,120}>")
-WORD = regex.compile(r"[A-Za-z0-9_]++")
-NAME = regex.compile(r"[a-z][A-Z]|[0-9_]")
-JUNK = regex.compile(r"[^\p{L}\p{M}'’¿¡]+")
+#: Essences are taken from many sentences at once, one to a line, so no pattern may cross a line's end. Each reads a character a bounded number of times, however long a word or quotation is.
+QUOTED = regex.compile(r"`[^`\n]*+`|\"[^\"\n]*+\"|“[^“”\n]*+”|„[^“”„\n]*+[“”]|«[^«»\n]*+»|「[^「」\n]*+」|‘[^‘’\n]*+’|<[^<>\n]*+>")
+ADDRESS = regex.compile(r"(?<!\S)[^\s/\\@\P{ASCII}]*+[/\\@][^\s\P{ASCII}]*+(?!\S)")
+NAME = regex.compile(r"(?<![A-Za-z0-9_])[A-Z]*+(?:[a-z]++(?=[A-Z0-9_])|(?=[0-9_]))[A-Za-z0-9_]++")
+JUNK = regex.compile(r"[^\p{L}\p{M}'’¿¡ \n]++")
+BLANKS = regex.compile(r" {2,}+")
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -91,12 +95,13 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def essence(s: str) -> str:
-    """What of a sentence tells its language, in lower case; words joined by single spaces. Code, quoted phrases, addresses, paths and names of identifiers are left out."""
-    s = QUOTED.sub(" ", s)
-    s = " ".join(w for w in s.split() if not (w.isascii() and any(c in w for c in "/\\@")))
-    s = WORD.sub(lambda m: " " if NAME.search(m.group()) else m.group(), s)
-    return JUNK.sub(" ", s).strip().lower()
+def essences(found: list[str]) -> list[str]:
+    """What of each sentence tells its language, in lower case; words joined by single spaces. Code, quoted phrases, addresses, paths and names of identifiers are left out. Sentences have no line ends in them."""
+    if not found:
+        return []
+    s = "\n".join(found)
+    s = NAME.sub(" ", ADDRESS.sub(" ", QUOTED.sub(" ", s)))
+    return [x.strip() for x in BLANKS.sub(" ", JUNK.sub(" ", s)).lower().split("\n")]
 
 
 HAN = regex.compile(r"\p{Han}")
@@ -173,90 +178,120 @@ class Trees:
             cost += np.where(open_, step, 0)
             open_ &= ~np.isfinite(bits)
         cost += np.where(open_, np.float32(8), 0)
-        out = np.stack([np.bincount(which, cost[:, i], len(texts)) for i in range(len(LANGS))], 1)
-        # a text mostly in Han signs can only be Chinese, any other can't
-        han = np.array([len(HAN.findall(s)) * 2 > len(s) for s in (t.decode("utf8", "ignore").replace(" ", "") for t in texts)], bool)
-        chinese = np.array([lang == "zh" for lang in LANGS])
-        return out + np.where(han[:, None] == chinese[None, :], 0.0, 1000.0)
+        return np.stack([np.bincount(which, cost[:, i], len(texts)) for i in range(len(LANGS))], 1)
 
 
-#: Depths of the trees of each round of training. Shallow trees can't learn single sentences by heart, so a minority of wrong labels doesn't hold against them.
-DEPTHS = (2, 3, ORDER)
-#: How often a label is taken to be right, and to be one certain wrong one: what each occurrence of a sentence says for its label.
+#: Depths of the trees by which training relabels sentences, one round each, before the last trees are grown.
+DEPTHS = (1, 2, 3)
+FOLDS = 4
+#: Sentences at which codes of trees with and without a sentence count alike.
+FEW = 200
+#: How often a document's language is taken to be that of a sentence in it, or of its label, and one certain other.
 RIGHT, WRONG = 0.7, 0.06
 
 
 def train(docs: list[tuple[str, str]]) -> Trees:
-    """Trees from (language, text) pairs whose labels may be wrong: each round grows trees from its labels, deeper than before, and gives every sentence the label that codes it shortest, the labels it came with included."""
-    texts: dict[str, list] = {lang: [] for lang in LANGS}
+    """Trees from (language, text) pairs whose labels may be wrong. Each round gives every document the language that codes the whole of it shortest, the labels voting, and every sentence the language that codes it shortest, its documents voting. Sentences are coded by all trees and by trees that were grown without them, so that none is kept by a language that has learnt it by heart under a wrong label."""
+    ids: dict[bytes, int] = {}
     size = dict.fromkeys(LANGS, 0)
+    sents, labels = [], []  # of each occurrence of a sentence, and of each document
     for lang, text in docs:
-        for a, b in sentences(text):
-            if size[lang] < TRAIN_BYTES and telling(e := essence(text[a:b])):
-                texts[lang].append(e.encode())
-                size[lang] += len(texts[lang][-1])
-    votes: dict[bytes, np.ndarray] = {}
-    for i, lang in enumerate(LANGS):
-        for e in texts[lang]:
-            votes.setdefault(e, np.zeros(len(LANGS)))[i] += 1
-    distinct = sorted(votes)
-    counts = np.array([votes[e] for e in distinct]).reshape(-1, len(LANGS))
-    said = -np.log2(WRONG) * counts.sum(1, keepdims=True) - np.log2(RIGHT / WRONG) * counts
-    trees = Trees.grow(texts, DEPTHS[0])
-    for depth in DEPTHS[1:]:
-        if distinct:
-            best = (trees.code_lengths(distinct) + said).argmin(1)
-            texts = {lang: [e for e, i, n in zip(distinct, best, counts.sum(1).astype(int)) if LANGS[i] == lang for _ in range(n)] for lang in LANGS}
-        trees = Trees.grow(texts, depth)
-    return trees
+        mine = []
+        for e in essences([text[a:b] for a, b in sentences(text)]):
+            if size[lang] < TRAIN_BYTES and telling(e):
+                key = e.encode()
+                mine.append(ids.setdefault(key, len(ids)))
+                size[lang] += len(key)
+        if mine:
+            sents.append(mine)
+            labels.append(LANGS.index(lang))
+    distinct, n = list(ids), len(LANGS)
+    if not distinct:
+        return Trees.grow({}, ORDER)
+    fold = np.array([xxhash.xxh64_intdigest(e) % FOLDS for e in distinct])
+    doc, sent, labels = np.repeat(np.arange(len(sents)), [len(x) for x in sents]), np.concatenate(sents), np.array(labels)
+    said = lambda votes: -np.log2(WRONG) * votes.sum(1, keepdims=True) - np.log2(RIGHT / WRONG) * votes
+
+    def counted(langs):
+        """How often each sentence occurs in documents of each language."""
+        return np.bincount(sent * n + langs[doc], minlength=len(distinct) * n).reshape(-1, n)
+
+    def grow(weights, wanted, depth):
+        return Trees.grow({lang: [distinct[k] for k in np.flatnonzero(wanted & (weights[:, i] > 0)) for _ in range(weights[k, i])] for i, lang in enumerate(LANGS)}, depth)
+
+    summed = lambda table_: np.stack([np.bincount(doc, table_[sent, i], len(labels)) for i in range(n)], 1)
+    weights = counted(labels)
+    # what the labels say for a document: its own and those of the others that hold its sentences, on average
+    label_votes = summed(weights) / np.bincount(doc)[:, None]
+    # trees without a sentence know little about it while sentences are few
+    trust = len(distinct) / (len(distinct) + FEW)
+    for depth in DEPTHS:
+        bits = grow(weights, fold >= 0, depth).code_lengths(distinct) * (1 - trust)
+        for k in range(FOLDS):
+            inside = np.flatnonzero(fold == k)
+            if len(inside):
+                bits[inside] += grow(weights, fold != k, depth).code_lengths([distinct[i] for i in inside]) * trust
+        votes = counted((summed(bits) + said(label_votes)).argmin(1))
+        best = (bits + said(votes)).argmin(1)
+        weights = np.where(np.arange(n) == best[:, None], votes.sum(1, keepdims=True), 0)
+    return grow(weights, fold >= 0, ORDER)
 
 
 class Reader:
-    """Segments of texts under frozen trees, with a memory of sentences seen."""
+    """Segments of texts under frozen trees, with a memory of sentences seen: of each its best language, whether that leads clearly, and its bits under each language; None if it tells nothing."""
 
     def __init__(self, levels):
-        self.trees, self.known = Trees(levels), {}
-
-    def learn(self, essences: list[str]) -> None:
-        new = list({e for e in essences if e not in self.known})
-        if len(self.known) + len(new) > REMEMBER:
-            self.known, new = {}, list(set(essences))
-        for i in range(0, len(new), 4000):
-            part = new[i : i + 4000]
-            bits = self.trees.code_lengths([e.encode() for e in part])
-            self.known.update(zip(part, map(tuple, bits.round(2).tolist())))
+        self.trees, self.known, self.size = Trees(levels), {}, 0
+
+    def learn(self, found: set[str]) -> None:
+        new = [x for x in found if x not in self.known]
+        if self.size + sum(map(len, new)) > REMEMBER:
+            self.known, self.size, new = {}, 0, list(found)
+        self.size += sum(map(len, new))
+        told = dict(zip(new, essences(new)))
+        distinct = list({e for e in told.values() if telling(e)})
+        scored = {}
+        for i in range(0, len(distinct), 4000):
+            part = distinct[i : i + 4000]
+            bits = self.trees.code_lengths([e.encode() for e in part]).round(2)
+            low = np.partition(bits, 1, axis=1)
+            scored.update(zip(part, zip(bits.argmin(1).tolist(), (low[:, 1] - low[:, 0] >= LEAD).tolist(), map(tuple, bits.tolist()))))
+        self.known.update((x, scored.get(e)) for x, e in told.items())
 
     def segments(self, texts: list[str | None]) -> list[list[tuple[str, int, int, float]]]:
         """Of each text its segments (language, first place, end, confidence), places by code points from 1, end included."""
         spans = [sentences(t) if t else [] for t in texts]
-        ess = [[essence(t[a:b]) for a, b in s] for t, s in zip(texts, spans)]
-        self.learn([e for x in ess for e in x if telling(e)])
-        return [join_sentences(s, [self.known[e] if telling(e) else None for e in x]) for s, x in zip(spans, ess)]
+        found = [[t[a:b] for a, b in s] for t, s in zip(texts, spans)]
+        self.learn({x for row in found for x in row})
+        return [join_sentences(s, [self.known[x] for x in row]) for s, row in zip(spans, found)]
 
 
-def join_sentences(spans, bits) -> list[tuple[str, int, int, float]]:
+def join_sentences(spans, told) -> list[tuple[str, int, int, float]]:
     """Longest runs of sentences in one language. A sentence without a clear lead joins the run before it, or the next one at the start, unless all are unclear."""
-    runs = []
+    runs = []  # language, first place, end, bits of its sentences
     waiting = []
-    for span, b in zip(spans, bits):
-        if b is None:
+    for (a, b), what in zip(spans, told):
+        if what is None:
             continue
-        order = sorted(range(len(LANGS)), key=b.__getitem__)
-        clear = b[order[1]] - b[order[0]] >= LEAD
-        if clear and (not runs or runs[-1][0] != order[0]):
-            runs.append([order[0], span[0], span[1], b])
-            if waiting and len(runs) == 1:
-                for s, w in waiting:
-                    runs[0] = [runs[0][0], min(s[0], runs[0][1]), runs[0][2], tuple(x + y for x, y in zip(runs[0][3], w))]
-                waiting = []
+        best, clear, bits = what
+        if clear and (not runs or runs[-1][0] != best):
+            runs.append([best, waiting[0][0] if waiting else a, b, [w for _, _, w in waiting] + [bits]])
+            waiting = []
         elif runs:
-            runs[-1] = [runs[-1][0], runs[-1][1], span[1], tuple(x + y for x, y in zip(runs[-1][3], b))]
+            runs[-1][2] = b
+            runs[-1][3].append(bits)
         else:
-            waiting.append((span, b))
-    if waiting and not runs:
-        total = tuple(map(sum, zip(*(w for _, w in waiting))))
-        runs = [[min(range(len(LANGS)), key=total.__getitem__), waiting[0][0][0], waiting[-1][0][1], total]]
-    return [(LANGS[k], a + 1, b, round(float(1 / sum(2.0 ** -min(60.0, max(-60.0, x - t[k])) for x in t)), 6)) for k, a, b, t in runs]
+            waiting.append((a, b, bits))
+    if waiting:
+        total = [sum(x) for x in zip(*(w for _, _, w in waiting))]
+        runs = [[total.index(min(total)), waiting[0][0], waiting[-1][1], [w for _, _, w in waiting]]]
+    return [(LANGS[k], a + 1, b, confidence(k, bits)) for k, a, b, bits in runs]
+
+
+def confidence(k: int, bits) -> float:
+    """The share of language k when every language is as likely as its code of the sentences is short."""
+    total = [sum(x) for x in zip(*bits)]
+    return round(1 / sum(2.0 ** -min(60.0, max(-60.0, x - total[k])) for x in total), 6)
 
 
 def training_sample(df: DataFrame, text: str, label: str, per_label: int = SAMPLE) -> list[tuple[str, str]]:
@@ -296,8 +331,10 @@ def read_languages(df: DataFrame, key: str, text: str, label: str, per_label: in
             got = []
             for i in range(0, len(texts), 500):
                 got += reader.segments(texts[i : i + 500]) if reader else [[] for _ in texts[i : i + 500]]
-            rows = [[{"seg_no": n + 1, "lang": s[0], "start_pos": s[1], "end_pos": s[2], "confidence": s[3]} for n, s in enumerate(x)] for x in got]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.list_(kind))], names=[key, "label", "segments"])
+            flat = [(n + 1, *s) for x in got for n, s in enumerate(x)]
+            parts = [pa.array([s[i] for s in flat], f.type) for i, f in enumerate(kind)]
+            ends = pa.array(np.cumsum([0, *map(len, got)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(parts, fields=list(kind)))], names=[key, "label", "segments"])
 
     schema = f"{key} {dict(df.dtypes)[key]}, label string, segments array<struct<seg_no:int,lang:string,start_pos:int,end_pos:int,confidence:double>>"
     return df.select(key, label_of(F.col(label)).alias("label"), text).mapInArrow(go, schema)
