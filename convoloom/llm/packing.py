@@ -64,13 +64,19 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> np.ndarray:
 
 
 def places(plan: np.ndarray, size: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Container and offset of items by size and rank."""
+    """Container and offset of items by size and rank, in integers at any capacity and any number of items."""
+    # a plan lists the rows of a size together, by rank: so first the size's rows, then the rank among them
     order = np.lexsort((plan[:, 1], plan[:, 0]))
     p = plan[order]
-    key = p[:, 0].astype(np.float64) * 2.0**40 + p[:, 1]
-    row = p[np.searchsorted(key, size.astype(np.float64) * 2.0**40 + rank, side="right") - 1]
-    k = rank - row[:, 1]
-    return row[:, 2] + k // row[:, 4], row[:, 3] + k % row[:, 4] * row[:, 0]
+    no, at = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+    by_size = np.argsort(size, kind="stable")
+    sizes, starts = np.unique(size[by_size], return_index=True)
+    first, behind = np.searchsorted(p[:, 0], sizes), np.searchsorted(p[:, 0], sizes, side="right")
+    for mine, f, t in zip(np.split(by_size, starts[1:]), first, behind):
+        row = p[f + np.searchsorted(p[f:t, 1], rank[mine], side="right") - 1]
+        k = rank[mine] - row[:, 1]
+        no[mine], at[mine] = row[:, 2] + k // row[:, 4], row[:, 3] + k % row[:, 4] * row[:, 0]
+    return no, at
 
 
 def pack(items: DataFrame, windows: dict[int, int], chunks: int | None = None) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -76,3 +77,26 @@ def test_frame_with_hot_sizes(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, n_tokens bigint")
     assert pack(df, {1: 10}).count() == 0
+
+
+@pytest.mark.parametrize("capacity", [8192, 32_768, 131_072])
+def test_no_window_is_over_full_at_large_capacities(capacity):
+    rng = np.random.default_rng(capacity)
+    size = np.minimum(capacity, (rng.pareto(0.8, 20_000) * 300 + 1).astype(np.int64))
+    counts = Counter(size.tolist())
+    rank = np.zeros(len(size), np.int64)
+    for s in counts:
+        rank[size == s] = np.arange(counts[s])
+    box, at = places(best_fit_plan(counts, capacity), size, rank)
+    order = np.lexsort((at, box))
+    b, a, n = box[order], at[order], size[order]
+    same = b[1:] == b[:-1]
+    # in a window each item begins where the one before it ends, the first at 0
+    assert (a[1:][same] == (a + n)[:-1][same]).all() and (a[1:][~same] == 0).all() and a[0] == 0
+    assert np.bincount(box, size).max() <= capacity and len(np.unique(box)) == box.max() + 1
+
+
+def test_ranks_above_what_a_float_holds():
+    plan = np.array([[131_072, 0, 5, 0, 1], [131_072, 2**52 + 1, 9, 3, 1]], np.int64)
+    box, at = places(plan, np.array([131_072, 131_072]), np.array([2**52, 2**52 + 1]))
+    assert box.tolist() == [5 + 2**52, 9] and at.tolist() == [0, 3]
