@@ -78,12 +78,20 @@ def validate(spark: SparkSession, path: str) -> DataFrame:
     return compare_manifest(manifest, files.select(F.regexp_extract("path", r"/data/(.*)$", 1).alias("path"), F.col("length").alias("size"), checksum(F.col("content")).alias("checksum")))
 
 
-def restore(spark: SparkSession, path: str, target: str) -> DataFrame:
-    """Reads a snapshot whose files are all valid and writes it to a target that doesn't exist yet."""
-    status = verdict(validate(spark, path)).first()["status"]
-    if status == "invalid":
-        raise SnapshotInvalid(json.dumps({"path": path, "status": status}))
-    df = spark.read.parquet(f"{path}/data")
+def restore(spark: SparkSession, path: str, target: str, partial: bool = False) -> DataFrame:
+    """Reads the valid files of a snapshot, and no others, and writes them to a target that doesn't exist yet.
+
+    Files that are corrupt or missing are refused (SnapshotInvalid names up to ten), unless partial says to do without
+    them; without any valid file nothing is restored. Files that the manifest doesn't list are never read. A target
+    that exists fails before anything is written.
+    """
+    states = validate(spark, path)
+    found = verdict(states).first()
+    bad = [(r["path"], r["state"]) for r in states.where("state in ('corrupt', 'missing')").orderBy("path").limit(10).collect()]
+    if bad and not partial or not found["valid"]:
+        raise SnapshotInvalid(json.dumps({"path": path, "status": found["status"], "files": bad}))
+    good = [f"{path}/data/{r['path']}" for r in states.where("state = 'valid'").select("path").toLocalIterator()]
+    df = spark.read.option("basePath", f"{path}/data").parquet(*good)
     df.write.mode("errorifexists").parquet(target)
     return spark.read.parquet(target)
 

@@ -31,6 +31,24 @@ def test_publish_validate_restore(spark, tmp_path):
         s.restore(spark, str(tmp_path / "snap"), str(tmp_path / "again"))
 
 
+def test_corrupt_files_are_never_restored(spark, tmp_path):
+    snap = tmp_path / "snap"
+    s.publish(spark.range(10, numPartitions=2), str(snap))
+    parts = sorted((snap / "data").glob("*.parquet"))
+    assert len(parts) == 2
+    # the second file's rows in place of the first's, and a file that nobody listed
+    parts[0].write_bytes(parts[1].read_bytes())
+    (snap / "data" / "part-extra.parquet").write_bytes(parts[1].read_bytes())
+    for crc in (snap / "data").glob(".*.crc"):
+        crc.unlink()
+    assert {r["state"]: r["count"] for r in s.validate(spark, str(snap)).groupBy("state").count().collect()} == {"corrupt": 1, "valid": 1, "extra": 1}
+    with pytest.raises(s.SnapshotInvalid, match=parts[0].name):
+        s.restore(spark, str(snap), str(tmp_path / "a"))
+    assert not (tmp_path / "a").exists()
+    got = [r[0] for r in s.restore(spark, str(snap), str(tmp_path / "b"), partial=True).orderBy("id").collect()]
+    assert got == [5, 6, 7, 8, 9]
+
+
 def test_replicas(spark):
     df = copies(spark, [("a", 1, "composer", "composer-global", "complete", "/p", "f"), ("a", 2, "composer", "composer-global", "complete", "/q", "f"), ("a", 3, "composer", "composer-workspace", "complete", "/o.code-workspace", "g"), ("a", 4, "store", "store-db", "complete", "/a", "h"), ("b", 5, "composer", "composer-workspace", "complete", None, "x"), ("b", 6, "composer", "composer-workspace", "complete", "/b", "y"), ("c", 7, "store", "store-transcript", "partial", "/c", "z")])
     groups = replica_groups(df)
@@ -76,6 +94,28 @@ def test_incremental_replacement(spark, tmp_path):
     assert {r["session_id"]: r["n_messages"] for r in current_sessions(store).collect()} == {"a": 2, "b": 1}
 
 
+def test_a_store_goes_on_after_a_restart(spark, tmp_path):
+    schema = "session_id string, msg_id bigint, role string, content string"
+    SessionStore(spark, str(tmp_path)).upsert(spark.createDataFrame([("a", 1, "user", "x"), ("b", 1, "user", "x")], schema))
+    again = SessionStore(spark, str(tmp_path))
+    assert again.version == 1 and again.upsert(spark.createDataFrame([("b", 2, "user", "y"), ("c", 1, "user", "z")], schema)) == {"written": 2, "version": 2}
+    # a version that was cut off before its mark was written doesn't count
+    (tmp_path / "versions" / "3").mkdir(parents=True)
+    last = SessionStore(spark, str(tmp_path))
+    assert last.version == 2 and {r["session_id"]: r["n_messages"] for r in current_sessions(last).collect()} == {"a": 1, "b": 2, "c": 1}
+    assert last.upsert(spark.createDataFrame([("c", 1, "user", "new")], schema)) == {"written": 1, "version": 3}
+    assert sorted(tuple(r) for r in last.rows().collect()) == [("a", 1, "user", "x"), ("b", 1, "user", "x"), ("b", 2, "user", "y"), ("c", 1, "user", "new")]
+
+
+def test_only_touched_parts_are_written(spark, tmp_path):
+    schema = "session_id string, msg_id bigint, role string, content string"
+    store = SessionStore(spark, str(tmp_path), parts=8)
+    store.upsert(spark.createDataFrame([(f"s{i}", 1, "user", "x") for i in range(40)], schema))
+    store.upsert(spark.createDataFrame([("s1", 2, "user", "y")], schema))
+    assert len(list((tmp_path / "rows" / "v=1").glob("part=*"))) > 4 and len(list((tmp_path / "rows" / "v=2").glob("part=*"))) == 1
+    assert store.rows().count() == 41 and SessionStore(spark, str(tmp_path)).rows().count() == 41
+
+
 def test_attachments_and_blocks(spark, tmp_path):
     df = spark.createDataFrame([("päy\nload",), ("",)], "p string").withColumn("c", F.concat(F.lit("t\n"), encode_attachment(F.col("p"))))
     got = df.select(decode_attachments(F.col("c")).alias("d"), without_attachments(F.col("c")).alias("w")).collect()
