@@ -1,11 +1,13 @@
 """Whole conversations out of message rows.
 
-A stream of messages is kept in keyed state: one small row for each (session, message), the smallest msg_id winning,
-with the arrival time as event time under a watermark. Keying by message, not by session, splits sessions of any size
-over all state partitions. Each micro-batch appends the state rows it changed to a buffer table, so late arrivals only
-add rows. A conversation is emitted when it is closed: at the end of the input, or once its last arrival is a timeout
-behind the watermark. Closed conversations are ordered by one range sort over all of them, and pieces of a
-conversation that fall into several ranges are joined by their counts and end roles; no task needs a whole one.
+A stream of messages is kept in keyed state: one small row for each (window of arrival, session, message), the smallest
+msg_id winning, with the arrival as event time under a watermark, so state leaves the store when the watermark passes
+its window. Keying by message, not by session, splits sessions of any size over all state partitions. Each micro-batch
+lays the state rows it changed over the table of open messages, which buffers late arrivals. A conversation is closed
+and emitted by the micro-batch in which its last arrival falls a timeout behind the watermark, or by the end of the
+input; a message that comes later still makes it anew at the end. Closed conversations are ordered by one range sort
+over all of them, and pieces of a conversation that fall into several ranges are joined by their counts and end roles;
+no task needs a whole one.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ USER, ASSISTANT, UNREADABLE = 1, 2, 0
 USERS = ("user", "human", "1", "usr", "person", "prompter")
 ASSISTANTS = ("assistant", "ai", "model", "2", "bot", "asst", "gpt", "agent")
 STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+OPEN = "session_id string, ident binary, msg_id bigint, message_key binary, parent_key binary, role int, blank boolean, ms bigint, arrived_ms bigint, last_ms bigint"
 STATE = ["msg_id", "message_key", "parent_key", "role", "blank", "ms", "arrived_ms"]
 
 
@@ -44,7 +47,10 @@ def prepare(messages: DataFrame, zone: DataFrame) -> DataFrame:
     m = messages.select("workspace_id", "session_id", "message_key", "parent_key", "role", "content", "msg_id", "msg_time", "received_at").join(zone, "workspace_id", "left").where("session_id is not null")
     ident = F.coalesce(key_of(F.col("message_key")), key_of(F.concat(F.lit("\x01"), F.col("msg_id").cast("string"))))
     blank = ~F.coalesce("content", F.lit("")).rlike(r"[^\s ​﻿]")
-    return m.select("session_id", ident.alias("ident"), F.to_timestamp("received_at").alias("arrived"), "msg_id", key_of(F.col("message_key")).alias("message_key"), key_of(F.col("parent_key")).alias("parent_key"), speaker(F.col("role")).alias("role"), blank.alias("blank"), times.utc_ms(F.col("msg_time"), F.col("tz")).alias("ms"))
+    ms = times.utc_ms(F.col("msg_time"), F.col("tz"))
+    # a message without time of arrival counts as arrived when it was sent, or else in 1970
+    arrived = F.coalesce(F.to_timestamp("received_at"), F.timestamp_millis(ms), F.timestamp_millis(F.lit(0)))
+    return m.select("session_id", ident.alias("ident"), arrived.alias("arrived"), "msg_id", key_of(F.col("message_key")).alias("message_key"), key_of(F.col("parent_key")).alias("parent_key"), speaker(F.col("role")).alias("role"), blank.alias("blank"), ms.alias("ms"))
 
 
 def _stream_of(spark: SparkSession, path: str) -> DataFrame:
@@ -56,40 +62,93 @@ def _stream_of(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", os.path.basename(path)).parquet(os.path.dirname(path))
 
 
-def buffer_messages(stream: DataFrame, zone: DataFrame, delay: str = "7 days", trigger: dict | None = None, folder: str | None = None):
-    """Runs the stateful query over a stream of messages; gives the running query and the path of its buffer table.
+def latest(rows: DataFrame) -> DataFrame:
+    """OPEN with each message once: the smallest msg_id, and the last arrival of any copy."""
+    return rows.groupBy("session_id", "ident").agg(F.min(F.struct(*STATE)).alias("m"), F.max("last_ms").alias("last_ms")).select("session_id", "ident", "m.*", "last_ms")
 
-    State is keyed by session and message and keeps the smallest msg_id. trigger defaults to all that is available.
-    """
-    spark = stream.sparkSession
-    folder = folder or scratch(spark, "conversations")
-    kept = prepare(stream, zone).withWatermark("arrived", delay).groupBy("session_id", "ident").agg(F.min(F.struct("msg_id", "message_key", "parent_key", "role", "blank", "ms", F.unix_millis("arrived").alias("arrived_ms"))).alias("m"))
-
-    def append(df: DataFrame, batch: int) -> None:
-        df.select("session_id", "ident", "m.*").write.mode("overwrite").parquet(f"{folder}/buffer/batch={batch}")
-
-    # state on disk, so that it may outgrow the executors' memory; the query takes the settings with it when it starts
-    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
-    for k, v in STATE_STORE.items():
-        spark.conf.set(k, v)
-    try:
-        query = kept.writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", f"{folder}/state").trigger(**(trigger or {"availableNow": True})).start()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    return query, f"{folder}/buffer"
 
+class ConversationStream:
+    """Closed conversations out of a stream of messages.
 
-def buffered(spark: SparkSession, path: str) -> DataFrame:
-    """The state as of the last batch: each message once. What was emitted again carries a smaller msg_id."""
-    rows = spark.read.schema("session_id string, ident binary, msg_id bigint, message_key binary, parent_key binary, role int, blank boolean, ms bigint, arrived_ms bigint, batch int").parquet(path)
-    return rows.groupBy("session_id", "ident").agg(F.min(F.struct(*STATE)).alias("m")).select("session_id", "m.*")
-
+    delay is how far the watermark stays behind the latest arrival: what comes later than that after its window has
+    left the state store is dropped by the stream. timeout is how far behind the watermark a conversation's last arrival
+    must be for it to be closed. listed is what active_branches gives. The folder holds, for each micro-batch, the
+    messages that are open (parts/batch=n/done=false), those of conversations it closed (done=true) and the
+    conversations (out/batch=n); a batch that is run again writes the same again.
+    """
 
-def closed(rows: DataFrame, watermark_ms: int, timeout_ms: int) -> DataFrame:
-    """Rows of the sessions whose last arrival is the timeout or more behind the watermark."""
-    done = rows.groupBy("session_id").agg(F.max("arrived_ms").alias("last")).where(F.col("last") <= watermark_ms - timeout_ms)
-    return rows.join(done.select("session_id"), "session_id", "left_semi")
+    def __init__(self, zone: DataFrame, listed: DataFrame, delay: str = "7 days", timeout: str = "30 days", width: str = "1 day", folder: str | None = None):
+        self.spark = zone.sparkSession
+        self.zone, self.listed, self.delay, self.width = zone, listed, delay, width
+        self.folder = folder or scratch(self.spark, "conversations")
+        in_ms = lambda span: int(self.spark.range(1).select(F.expr(f"unix_millis(timestamp_millis(0) + interval {span})")).first()[0])
+        self.behind = in_ms(delay) + in_ms(timeout)
+        self.batches = self._there()
+        if not self.batches:
+            self._write(self.spark.createDataFrame([], OPEN).withColumn("done", F.lit(False)), -1)
+
+    def _there(self) -> list[int]:
+        """The micro-batches that were written, those of earlier runs over this folder included."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/parts")
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return sorted(int(f.getPath().getName().partition("=")[2]) for f in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _write(self, rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").partitionBy("done").parquet(f"{self.folder}/parts/batch={batch}")
+        self.batches = sorted({*getattr(self, "batches", []), batch})
+
+    def _rows(self, done: bool, batch: int | None = None) -> DataFrame:
+        """Rows of one batch, or, with their batch, of all."""
+        path = f"{self.folder}/parts" if batch is None else f"{self.folder}/parts/batch={batch}"
+        schema = f"{OPEN}, {'batch int, ' if batch is None else ''}done boolean"
+        return self.spark.read.schema(schema).parquet(path).where(F.col("done") == done).drop("done")
+
+    def close(self, changed: DataFrame, batch: int) -> None:
+        """One micro-batch: changed state rows over the open messages; what is due is closed and emitted. Without changes nothing falls due."""
+        if changed.isEmpty():
+            return
+        fresh = changed.select("session_id", "ident", "m.*", F.col("m.arrived_ms").alias("last_ms"))
+        before = max(b for b in self.batches if b < batch)
+        rows = settle(latest(self._rows(False, before).unionByName(fresh)), "open")
+        ends = rows.groupBy("session_id").agg(F.max("last_ms").alias("end"))
+        due = (rows.agg(F.max("last_ms")).first()[0] or 0) - self.behind
+        over = ends.where(F.col("end") <= due).select("session_id", F.lit(True).alias("over"))
+        self._write(rows.join(over, "session_id", "left").withColumn("done", F.coalesce("over", F.lit(False))).drop("over"), batch)
+        closed = self._rows(True, batch)
+        if not closed.isEmpty():
+            rebuild(closed, self.listed).write.mode("overwrite").parquet(f"{self.folder}/out/batch={batch}")
+
+    def start(self, stream: DataFrame, trigger: dict | None = None):
+        """The running query over a stream of messages; trigger defaults to all that is available."""
+        m = prepare(stream, self.zone).withWatermark("arrived", self.delay)
+        row = F.struct("msg_id", "message_key", "parent_key", "role", "blank", "ms", F.unix_millis("arrived").alias("arrived_ms"))
+        kept = m.groupBy(F.window("arrived", self.width), "session_id", "ident").agg(F.min(row).alias("m"))
+        # state on disk, so that it may outgrow the executors' memory; the query takes the settings with it when it starts
+        before = {k: self.spark.conf.get(k, None) for k in STATE_STORE}
+        for k, v in STATE_STORE.items():
+            self.spark.conf.set(k, v)
+        try:
+            return kept.writeStream.outputMode("update").foreachBatch(self.close).option("checkpointLocation", f"{self.folder}/state").trigger(**(trigger or {"availableNow": True})).start()
+        finally:
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
+
+    def emitted(self) -> DataFrame:
+        """session_id, pos, msg_id of the conversations closed so far, with the batch that closed them."""
+        schema, p = "session_id string, pos int, msg_id bigint, batch int", self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/out")
+        there = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/out") if there else self.spark.createDataFrame([], schema)
+
+    def finish(self) -> DataFrame:
+        """session_id, pos, msg_id of all conversations, the end of the input closing those still open. One that got messages after it was closed is made anew, of all its messages."""
+        rows, open_ = self._rows(True), self._rows(False, max(self.batches))
+        closed = rows.select("session_id", "batch").distinct()
+        again = closed.join(open_.select("session_id").distinct(), "session_id", "left_semi").select("session_id")
+        again = settle(again.unionByName(closed.groupBy("session_id").count().where("count > 1").select("session_id")).distinct(), "again")
+        rest = open_
+        if not again.isEmpty():
+            rest = settle(latest(open_.unionByName(rows.drop("batch").join(again, "session_id", "left_semi"))), "rest")
+        return self.emitted().drop("batch").join(again, "session_id", "left_anti").unionByName(rebuild(rest, self.listed))
 
 
 def place_untimed(rows: DataFrame) -> DataFrame:
@@ -152,11 +211,11 @@ def rebuild(rows: DataFrame, listed: DataFrame) -> DataFrame:
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All of messages through the stream, closed by the end of the input."""
+    """All of messages through the stream; what is still open is closed by the end of the input."""
     ship(spark)
-    query, path = buffer_messages(_stream_of(spark, f"{sf_dir}/messages.parquet"), zones(spark, sf_dir))
-    query.awaitTermination()
-    return rebuild(settle(buffered(spark, path), "messages"), active_branches(table(spark, sf_dir, "sessions")))
+    stream = ConversationStream(zones(spark, sf_dir), settle(active_branches(table(spark, sf_dir, "sessions")), "listed"))
+    stream.start(_stream_of(spark, f"{sf_dir}/messages.parquet")).awaitTermination()
+    return stream.finish()
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

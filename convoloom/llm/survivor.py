@@ -77,18 +77,20 @@ def dependency(df: DataFrame, determinant: str, dependent: str) -> DataFrame:
     return pairs.groupBy("det").agg(F.min(F.struct((-F.col("count")).alias("n"), "dep")).alias("m")).select("det", F.col("m.dep").alias("dep"))
 
 
-def consistent_survivors(df: DataFrame, key: str, row_id: str, rank: list[Column], trust: Column, bundles: list[Bundle], dependencies: list[tuple[str, str]], at_least: int = 2) -> DataFrame:
+def consistent_survivors(df: DataFrame, key: str, row_id: str, rank: list[Column], bundles: list[Bundle], dependencies: list[tuple[str, str]], at_least: int = 2, trust: Column | None = None, weights: dict[str, int] | None = None) -> DataFrame:
     """As survivors, but every dependency (determinant, dependent) between single-field bundles holds in the result.
 
-    Groups whose best choice breaks none keep it. The others choose among their distinct values, each with its best
-    trust (above 0) and row, by branch and bound: the sum of trust is greatest over all consistent choices, a bundle
-    without a fitting value is left out. The groups that reach Python hold distinct values, not rows.
+    Groups whose best choice breaks none keep it. The others choose among their distinct values, each with its best row,
+    by branch and bound: the sum of trust is greatest over all consistent choices, a bundle without a fitting value is
+    left out. trust is a column above 0; without it trust follows the rank, and weights say which fields go first: no
+    gain in a field of smaller weight makes up for a lower rank in one of greater. Of determinant values that ask for
+    one and the same dependent value only the best is a candidate, so what reaches Python for a group is bounded by the
+    distinct dependent values, however many rows it has.
     """
     first = settle(survivors(df, key, row_id, rank, bundles, at_least), "survivors")
     single = {b.fields[0]: i for i, b in enumerate(bundles) if len(b.fields) == 1}
     coupled = sorted({f for d in dependencies for f in d})
-    broken = None
-    facts = []
+    broken, facts = None, []
     for det, dep in dependencies:
         fact = settle(dependency(df, det, dep), "dependency")
         facts.append(fact)
@@ -99,16 +101,26 @@ def consistent_survivors(df: DataFrame, key: str, row_id: str, rank: list[Column
     broken = settle(broken.distinct(), "broken")
     rows = df.join(broken, key, "left_semi")
     wanted = F.array(*[F.struct(F.lit(f).alias("field"), F.when(bundles[single[f]].valid, F.col(f).cast("string")).alias("value")) for f in coupled])
-    options = rows.select(key, trust.alias("trust"), F.col(row_id).alias("row_id"), F.inline(wanted)).where("value is not null")
-    options = options.groupBy(key, "field", "value").agg(F.max(F.struct("trust", (-F.col("row_id")).alias("m"))).alias("b")).select(key, "field", "value", F.col("b.trust").alias("trust"), (-F.col("b.m")).alias("row_id"))
+    place = [-trust] if trust is not None else rank
+    at = [f"p{i}" for i in range(len(place))]
+    options = rows.select(key, *[c.alias(n) for c, n in zip(place, at)], F.col(row_id).alias("row_id"), F.inline(wanted)).where("value is not null")
+    options = options.groupBy(key, "field", "value").agg(F.min(F.struct(*at, "row_id")).alias("b")).select(key, "field", "value", "b.*")
     for i, ((det, _), fact) in enumerate(zip(dependencies, facts)):
         options = options.join(fact.select(F.col("det").alias("value"), F.lit(det).alias("field"), F.col("dep").alias(f"dep{i}")), ["value", "field"], "left")
-    deps = list(dependencies)
+    deps, asked = list(dependencies), [f"dep{i}" for i in range(len(dependencies))]
+    free = [f for f in coupled if f not in {d for _, d in deps}]  # nothing asks for a certain value of these
+    alike = F.when(F.col("field").isin(free), F.lit(None).cast("string")).otherwise(F.col("value"))
+    options = options.withColumn("alike", alike).groupBy(key, "field", "alike", *asked).agg(F.min(F.struct(*at, "row_id", "value")).alias("b")).select(key, "field", *asked, "b.*")
+
+    by_trust = trust is not None
 
     def choose(pdf):
-        pdf = pdf.sort_values(["trust", "row_id"], ascending=[False, True])
+        pdf = pdf.sort_values([*at, "row_id"])
         fields = [f for f in coupled if (pdf["field"] == f).any()]
-        cand = [[(float(r.trust), (r.value, tuple(getattr(r, f"dep{i}") for i in range(len(deps))), r.row_id)) for r in pdf[pdf["field"] == f].itertuples(index=False)] for f in fields]
+        size = len(pdf) + 1
+        order = {f: n for n, f in enumerate(sorted(coupled, key=lambda f: (weights or {}).get(f, 0)))}
+        worth = lambda r, f, k: -float(r.p0) if by_trust else (size - k) * (size + 1) ** order[f]
+        cand = [[(worth(r, f, k), (r.value, tuple(getattr(r, d) for d in asked), r.row_id)) for k, r in enumerate(pdf[pdf["field"] == f].itertuples(index=False))] for f in fields]
 
         def allowed(chosen, i, values):
             for n, (det, dep) in enumerate(deps):
@@ -145,7 +157,7 @@ def session_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.size(F.array_distinct(F.filter(F.coalesce("sources", F.array().cast("array<string>")), lambda x: x.isNotNull())))
     prefers = F.when(F.col("preferred_source") == "composer", 0).when(F.col("preferred_source") == "store", 1).otherwise(2)
     modified = times.utc_ms(F.col("metadata.last_modified"), F.col("tz"))
-    return s.select("id", "session_row_id", "workspace_id", "title", "workspace", "created_at", "message_count", place.alias("state"), (-n).alias("sources"), prefers.alias("prefers"), F.coalesce(-modified, F.lit(2**62)).alias("modified"), times.utc_ms(F.col("created_at"), F.col("tz")).alias("created_ms"))
+    return s.select("id", "session_row_id", "workspace_id", "preferred_source", F.col("metadata.last_modified").alias("last_modified"), "title", "workspace", "created_at", "message_count", place.alias("state"), (-n).alias("sources"), prefers.alias("prefers"), F.coalesce(-modified, F.lit(2**62)).alias("modified"), times.utc_ms(F.col("created_at"), F.col("tz")).alias("created_ms"))
 
 
 RANK = ["state", "sources", "prefers", "modified"]
@@ -159,14 +171,23 @@ def session_bundles() -> list[Bundle]:
     return [Bundle("title", ("title",), has_text("title")), Bundle("workspace", ("workspace",), has_text("workspace")), Bundle("created_at", ("created_at",), F.col("created_ms").isNotNull()), Bundle("message_count", ("message_count",), F.col("message_count").isNotNull())]
 
 
+#: Beside the four fields: the workspace's id, which must be the one that goes with the path, and the pair of what wrote a copy and when.
+def all_bundles() -> list[Bundle]:
+    return [*session_bundles(), Bundle("workspace_id", ("workspace_id",), has_text("workspace_id")), Bundle("origin", ("preferred_source", "last_modified"), has_text("preferred_source") & has_text("last_modified"))]
+
+
+def consistent_sessions(spark: SparkSession, sf_dir: str, at_least: int, **more) -> DataFrame:
+    return consistent_survivors(session_copies(spark, sf_dir), "id", "session_row_id", [F.col(c) for c in RANK], all_bundles(), [("workspace", "workspace_id")], at_least, **more)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = survivors(session_copies(spark, sf_dir), "id", "session_row_id", [F.col(c) for c in RANK], session_bundles())
-    return got.select("id", F.col("bundle").alias("field"), F.col("row_id").alias("session_row_id"))
+    """The stated rank decides on each of the four fields, so the path weighs more than the id that must go with it: where both can't be had, another id is taken, never another path."""
+    got = consistent_sessions(spark, sf_dir, 2, weights={"workspace": 2, "workspace_id": 1})
+    return got.where(F.col("bundle").isin([b.name for b in session_bundles()])).select("id", F.col("bundle").alias("field"), F.col("row_id").alias("session_row_id"))
 
 
 def p4_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The survivors of every session, workspace_id among the fields, where workspace_id must fit the path."""
-    bundles = [*session_bundles(), Bundle("workspace_id", ("workspace_id",), has_text("workspace_id"))]
+    """The survivors of every session in all bundles, by the greatest sum of trust; origin takes both its fields from one copy."""
     trust = (F.lit(7) - F.col("state")) * 100 + F.least(-F.col("sources"), F.lit(9)) * 10 + (3 - F.col("prefers")) + 1 / (1 + F.exp(F.col("modified") / 1e11 + 16))
-    got = consistent_survivors(session_copies(spark, sf_dir), "id", "session_row_id", [F.col(c) for c in RANK], trust, bundles, [("workspace_id", "workspace")], 1)
-    return got.select("id", F.col("bundle").alias("field"), F.col("row_id").alias("session_row_id"), F.get("values", F.lit(0)).alias("value"))
+    got = consistent_sessions(spark, sf_dir, 1, trust=trust)
+    return got.select("id", F.col("bundle").alias("field"), F.col("row_id").alias("session_row_id"), F.concat_ws(" | ", "values").alias("value"))

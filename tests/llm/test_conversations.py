@@ -28,7 +28,7 @@ def run(spark, rows, lists=(), parts=1):
 
 
 def pair(s, i, **more):
-    return [message(i, s, f"{s}{i}", ms=i, **more), message(i + 1, s, f"{s}{i + 1}", role="assistant", ms=i + 1)]
+    return [message(i, s, f"{s}{i}", ms=i, **more), message(i + 1, s, f"{s}{i + 1}", role="assistant", ms=i + 1, **more)]
 
 
 def test_rules(spark):
@@ -95,19 +95,61 @@ def test_empty(spark):
     assert run(spark, []) == {}
 
 
-def test_stream_and_closing(spark, tmp_path):
+def stream_of(spark, tmp_path, batches, lists=(), **more):
+    """Runs one micro-batch for each list of rows and gives the stream object and the last query."""
     zone = spark.createDataFrame([("w", "UTC")], "workspace_id string, tz string")
+    listed = c.active_branches(spark.createDataFrame(list(lists), "id string, active_branch_bubble_ids array<string>"))
+    s = c.ConversationStream(zone, listed, folder=str(tmp_path / "run"), **more)
     d = tmp_path / "messages"
-    batches = [[*pair("a", 1), message(10, "b", "k", ms=1, day=9)], [message(5, "a", "a1", ms=999, content="again"), message(11, "b", "l", role="assistant", ms=2, day=9)]]
-    for n, rows in enumerate(batches):
+    sizes = []
+    for rows in batches:
         spark.createDataFrame(rows, MESSAGES).drop("tz", "ms").coalesce(1).write.mode("append").parquet(str(d))
-        schema = spark.read.parquet(str(d)).schema
-        query, path = c.buffer_messages(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(d)), zone, folder=str(tmp_path / "run"))
-        query.awaitTermination()
-    rows = c.buffered(spark, path)
-    assert rows.count() == 4 and {r["msg_id"] for r in rows.collect()} == {1, 2, 10, 11}
-    late = int((START + timedelta(days=5)).timestamp() * 1000)
-    assert {r["session_id"] for r in c.closed(rows, late, 86_400_000).collect()} == {"a"}
+        q = s.start(spark.readStream.schema(spark.read.parquet(str(d)).schema).parquet(str(d)))
+        q.awaitTermination()
+        sizes.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+    return s, sizes
+
+
+def by_session(df):
+    got = defaultdict(list)
+    for r in df.collect():
+        got[r["session_id"]].append((r["pos"], r["msg_id"]))
+    return {k: [i for _, i in sorted(v)] for k, v in got.items()}
+
+
+def test_conversations_are_emitted_on_timeout(spark, tmp_path):
+    batches = [
+        [*pair("a", 1), message(10, "b", "k", ms=1, day=1)],
+        [*pair("x", 30, day=40), message(11, "b", "l", role="assistant", ms=2, day=4)],  # a is long over; b got its answer late
+        [*pair("y", 40, day=90), message(3, "a", "a3", ms=5, day=89), message(4, "a", "a4", role="assistant", ms=6, day=90)],
+    ]
+    s, sizes = stream_of(spark, tmp_path, batches, delay="7 days", timeout="10 days")
+    out = defaultdict(set)
+    for r in s.emitted().collect():
+        out[r["batch"]].add(r["session_id"])
+    assert [sorted(v) for _, v in sorted(out.items()) if v] == [["a", "b"], ["x"]]
+    # state of windows behind the watermark has left the store, so it doesn't grow with the stream
+    assert sizes[-1] <= 4
+    # y is closed by the end of the input, and a, which got more after it was closed, is made anew
+    assert by_session(s.finish()) == {"a": [1, 2, 3, 4], "b": [10, 11], "x": [30, 31], "y": [40, 41]}
+
+
+def test_repeats_and_lists_through_the_stream(spark, tmp_path):
+    batches = [[*pair("a", 1), message(20, "b", "x", ms=1), message(21, "b", "y", role="assistant", ms=2)], [message(7, "a", "a1", ms=999, content="again"), message(19, "b", "y", role="assistant", ms=0)]]
+    s, _ = stream_of(spark, tmp_path, batches, lists=[("b", ["x", "y"])])
+    # of b's answers the smaller msg_id counts, which is sent before the question
+    assert s.emitted().count() == 0 and by_session(s.finish()) == {"a": [1, 2]}
+
+
+def test_a_stream_without_rows(spark, tmp_path):
+    s, _ = stream_of(spark, tmp_path, [])
+    assert s.finish().count() == 0
+
+
+def test_messages_without_arrival(spark, tmp_path):
+    rows = [(*r[:8], None, *r[9:]) for r in pair("a", 1)]
+    s, _ = stream_of(spark, tmp_path, [rows])
+    assert by_session(s.finish()) == {"a": [1, 2]}
 
 
 def test_archive(spark, sf):

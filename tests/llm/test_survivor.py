@@ -56,10 +56,23 @@ def test_dependencies_hold(spark):
     df = frame(spark, rows)
     assert {tuple(r) for r in dependency(df, "a", "b").collect()} == {("w1", "/p1"), ("w2", "/p2")}
     bs = [Bundle("a", ("a",), F.col("a").isNotNull()), Bundle("b", ("b",), F.col("b").isNotNull()), Bundle("c", ("c",), F.col("c").isNotNull())]
-    got = {(r["id"], r["bundle"]): r["values"][0] for r in consistent_survivors(df, "id", "row", [F.col("rank")], 1.0 / F.col("rank"), bs, [("a", "b")], 1).collect()}
+    got = {(r["id"], r["bundle"]): r["values"][0] for r in consistent_survivors(df, "id", "row", [F.col("rank")], bs, [("a", "b")], 1, trust=1.0 / F.col("rank")).collect()}
     assert got == {("x", "a"): "w1", ("x", "b"): "/p1", ("x", "c"): "t", ("y", "a"): "w1", ("y", "b"): "/p1", ("y", "c"): "t", ("z", "a"): "w2", ("z", "b"): "/p2"}
 
 
+def test_weights_say_which_field_goes_first(spark):
+    # in x the best copy has w1 without a path, the next /p2, which goes with w2; w2 comes last
+    rows = [("x", 1, 1, "w1", None, None), ("x", 2, 2, None, "/p2", None), ("x", 3, 3, "w2", "/p9", None)]
+    rows += [(f"k{i}", 10 + i, 1, f"w{1 + i % 2}", f"/p{1 + i % 2}", None) for i in range(6)]
+    df = frame(spark, rows)
+    bs = [Bundle("a", ("a",), F.col("a").isNotNull()), Bundle("b", ("b",), F.col("b").isNotNull()), Bundle("bc", ("b", "c"), F.col("b").isNotNull())]
+    run = lambda weights: {r["bundle"]: (r["row_id"], r["values"][0]) for r in consistent_survivors(df, "id", "row", [F.col("rank")], bs, [("b", "a")], 2, weights=weights).where("id = 'x'").collect()}
+    assert run({"b": 2, "a": 1}) == {"a": (3, "w2"), "b": (2, "/p2"), "bc": (2, "/p2")}
+    got = run({"a": 2, "b": 1})
+    # /p9 is paired with w2 as often as /p2 isn't, so no path fits w1
+    assert got["a"] == (1, "w1") and "b" not in got
+
+
 def test_archive(spark, sf):
     got = p4_found(spark, sf)
     assert got.dtypes == [("id", "string"), ("field", "string"), ("session_row_id", "bigint")]
