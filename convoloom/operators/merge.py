@@ -2,16 +2,15 @@
 
 Messages of equal meaning are paired along a longest common subsequence, gaps between pairs are matched by
 compatibility, and what is left stays, the composer's before the store's. Over DataFrames only hashes and classes of
-messages travel, never their texts.
+messages go through Python, never their texts: merged_messages joins those by the aligned ids.
 """
 
 from __future__ import annotations
 
-import json
-import math
 import re
 from bisect import bisect_left
-from collections.abc import Sequence
+from collections import defaultdict
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
@@ -19,33 +18,54 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convoloom.functions import text
+from convoloom.functions.bubbles import tool_text
 from convoloom.functions.canonical import canonical_json
+from convoloom.operators.export import ATTACHMENT, without_attachments
 from convoloom.operators.messages import messages
 from convoloom.operators.replicas import instances
+from convoloom.operators.timeline import timed_messages
 from convoloom.session import table
 
 #: Pairs of equal keys up to which an alignment keeps thresholds; above, and above eight for each key, it keeps bits. Both give the same pairs.
 LARGE = 5_000_000
 #: Bytes of masks kept at once by lcs_pairs.
 MASKS = 1 << 26
+#: Columns that are made at once when a halving ends.
+RUN = 16
+
+
+def rising_columns(low: int, high: int, behind: int, before: Callable[[int, int], int]) -> Iterator[int]:
+    """Columns low to high - 1 in rising order, though before(column, j) only leads from column j + 1 to j. behind is column high. The range is halved: the far half is passed through once to reach the near one, and made anew later, so one column for each halving is kept."""
+    if high - low <= RUN:
+        run = []
+        for j in reversed(range(low, high)):
+            behind = before(behind, j)
+            run.append(behind)
+        yield from reversed(run)
+        return
+    middle = (low + high) // 2
+    column = behind
+    for j in reversed(range(middle, high)):
+        column = before(column, j)
+    yield from rising_columns(low, middle, column, before)
+    yield from rising_columns(middle, high, behind, before)
 
 
 def lcs_pairs(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     """Index pairs of a longest common subsequence. Equal heads always pair; of equal prospects the head of a is skipped.
 
     A column of suffix lengths is held as the bits of its steps along a, so a column takes a few operations on one long
-    number. Memory is len(a) times the root of len(b), in bits.
+    number. Memory is len(a) times the logarithm of len(b), in bits.
     """
     shared = set(b)
     at = [i for i, k in enumerate(a) if k in shared]  # what b lacks is skipped at once
-    x, y = [a[i] for i in at], list(b)
-    n, m = len(x), len(y)
-    if not n or not m:
+    x = [a[i] for i in at]
+    n, width = len(x), (len(x) + 7) // 8
+    if not n:
         return []
-    places: dict = {}
+    places = defaultdict(list)
     for i, k in enumerate(x):
-        places.setdefault(k, []).append(n - 1 - i)
-    width = (n + 7) // 8
+        places[k].append(n - 1 - i)
 
     @lru_cache(max(16, MASKS // width))
     def mask(k) -> int:
@@ -56,35 +76,24 @@ def lcs_pairs(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
 
     full = (1 << n) - 1
 
-    def before(column: int, k) -> int:
-        """The column of k from the one behind it. A bit is 0 where the length grows by one."""
-        if k not in places:
+    def before(column: int, j: int) -> int:
+        """A bit is 0 where the length grows by one."""
+        if b[j] not in places:
             return column
-        hit = column & mask(k)
+        hit = column & mask(b[j])
         return ((column + hit) | (column - hit)) & full
 
-    step = max(1, math.isqrt(m - 1) + 1)
-    column, kept = full, {m: full}
-    for j in range(m - 1, -1, -1):
-        column = before(column, y[j])
-        if j % step == 0:
-            kept[j] = column
-    left = n - column.bit_count()
-    out, i = [], 0
-    for start in range(0, m, step):
-        stop = min(m, start + step)
-        block = [kept[stop]]
-        for j in range(stop - 1, start - 1, -1):
-            block.append(before(block[-1], y[j]))
-        for j in range(start, stop):
-            if not left:
-                return out
-            bits, k = block.pop().to_bytes(width, "little"), y[j]
-            while x[i] != k and bits[(n - 1 - i) >> 3] >> ((n - 1 - i) & 7) & 1:
-                i += 1
-            if x[i] == k:
-                out.append((at[i], j))
-                i, left = i + 1, left - 1
+    out, i, left = [], 0, None
+    for j, column in enumerate(rising_columns(0, len(b), full, before)):
+        left = n - column.bit_count() if left is None else left
+        if not left:
+            break
+        bits = column.to_bytes(width, "little")
+        while x[i] != b[j] and bits[(n - 1 - i) >> 3] >> ((n - 1 - i) & 7) & 1:
+            i += 1
+        if x[i] == b[j]:
+            out.append((at[i], j))
+            i, left = i + 1, left - 1
     return out
 
 
@@ -137,31 +146,39 @@ def anchored_pairs(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     return threshold_pairs(a, b, where) if few else lcs_pairs(a, b)
 
 
-def align(a: Sequence, b: Sequence, key, compatible) -> list[tuple[int | None, int | None]]:
-    """The union of both sides in order: (index in a, index in b), None where a side has no part. key(message, side, index) gives what must be equal to pair at once; compatible(x, y) what may pair inside a gap, first come."""
-    anchors = anchored_pairs([key(x, 0, i) for i, x in enumerate(a)], [key(x, 1, i) for i, x in enumerate(b)])
-    out: list[tuple[int | None, int | None]] = []
-    i = j = 0
+Finder = Callable[[int, int, int], int | None]
+
+
+def align(a: Sequence, b: Sequence, key, finder: Finder) -> list[tuple[int | None, int | None]]:
+    """The union of both sides in order: (index in a, index in b), None where a side has no part.
+
+    key(message) gives what must be equal to pair at once, None for what pairs with nothing at once. finder(i, j, end)
+    gives the first index from j on, before end, of what in b may pair with a[i] inside a gap: first come, first served.
+    """
+    strong = [[(n, k) for n, k in enumerate(map(key, side)) if k is not None] for side in (a, b)]
+    anchors = [(strong[0][p][0], strong[1][q][0]) for p, q in anchored_pairs([k for _, k in strong[0]], [k for _, k in strong[1]])]
+    pairs, start = [], (0, 0)
     for p, q in [*anchors, (len(a), len(b))]:
-        at = j
-        pairs = []
-        for k in range(i, p):
-            hit = next((n for n in range(at, q) if compatible(a[k], b[n])), None)
+        j = start[1]
+        for i in range(start[0], p):
+            hit = finder(i, j, q) if j < q else None
             if hit is not None:
-                pairs.append((k, hit))
-                at = hit + 1
-        for s, t in [*pairs, (p, q)]:
-            out += [(k, None) for k in range(i, s)] + [(None, n) for n in range(j, t)]
-            if s < len(a) and t < len(b) and (s, t) != (p, q) or (s, t) == (p, q) and p < len(a):
-                out.append((s, t))
-            i, j = s + 1, t + 1
-    return out
+                pairs.append((i, hit))
+                j = hit + 1
+        pairs.append((p, q))
+        start = p + 1, q + 1
+    out, i, j = [], 0, 0
+    for p, q in pairs:
+        out += [(n, None) for n in range(i, p)] + [(None, n) for n in range(j, q)] + [(p, q)]
+        i, j = p + 1, q + 1
+    return out[:-1]  # the last pair is the end of both sides
 
 
 # messages as dicts, with tools -------------------------------------------------------------------------------------
 
 _SPACE = re.compile(f"[{text.SPACE}]+")
 _QUERY = re.compile(rf"^[{text.SPACE}]*<user_query>[{text.SPACE}]*(.*?)[{text.SPACE}]*</user_query>[{text.SPACE}]*$", re.S | re.I)
+_ATTACHED = re.compile(rf"\n?^```{ATTACHMENT}\n([A-Za-z0-9+/=]+)\n```$", re.M)
 
 
 def plain(s: str | None) -> str:
@@ -174,15 +191,20 @@ def content_class(s: str | None) -> str:
     return "corrupt" if s == text.CORRUPT_MARK else "empty" if not s or s == text.EMPTY_MARK else "real"
 
 
+def matched(s: str | None) -> str | tuple:
+    """What of a content is compared: its text without attachments; if there is none, the attachments."""
+    if not s or s == text.EMPTY_MARK:
+        return ""
+    return plain(_ATTACHED.sub("", s)) or tuple(_ATTACHED.findall(s)) or plain(s)
+
+
 def params_text(tool: dict) -> str | None:
     return None if tool.get("params") is None else canonical_json(tool["params"])
 
 
-def message_key(m: dict, side: int, index: int) -> str:
-    tools = m.get("tools") or []
-    if content_class(m.get("content")) != "real" and not tools:
-        return json.dumps(["weak", side, index])
-    return json.dumps([m.get("role"), "" if m.get("content") == text.EMPTY_MARK else plain(m.get("content")), [[t["name"], params_text(t)] for t in tools]])
+def message_key(m: dict) -> tuple | None:
+    calls = tuple((t["name"], params_text(t)) for t in m.get("tools") or [])
+    return (m.get("role"), matched(m.get("content")), calls) if calls or content_class(m.get("content")) == "real" else None
 
 
 def tools_conflict(a: list[dict], b: list[dict]) -> bool:
@@ -201,7 +223,9 @@ def tools_fit(a: list[dict], b: list[dict]) -> bool:
 
 
 def is_tool_mark(m: dict) -> bool:
-    return bool(m.get("tools")) and (m.get("content") or "").lstrip().startswith("[Tool:")
+    """Whether a content is only the printed form of one of the message's own calls."""
+    first = (m.get("content") or "").lstrip().split("\n", 1)[0].strip()
+    return first.startswith("[Tool:") and any(first in (f"[Tool: {t['name']}]", tool_text({"name": t["name"]}).split("\n", 1)[0]) for t in m.get("tools") or [])
 
 
 def messages_fit(a: dict, b: dict) -> bool:
@@ -210,66 +234,93 @@ def messages_fit(a: dict, b: dict) -> bool:
     if a.get("role") != b.get("role") or tools_conflict(ta, tb):
         return False
     ca, cb = content_class(a.get("content")), content_class(b.get("content"))
-    fits = ca == cb if "corrupt" in (ca, cb) else plain(a["content"]) == plain(b["content"]) if ca == cb == "real" else True
+    fits = ca == cb if "corrupt" in (ca, cb) else matched(a["content"]) == matched(b["content"]) if ca == cb == "real" else True
     if fits:
         return ca == "real" or cb == "real" or tools_fit(ta, tb)
     return (is_tool_mark(a) or is_tool_mark(b)) and bool(ta) and bool(tb) and tools_fit(ta, tb)
 
 
 def pair_tools(a: list[dict], b: list[dict]) -> list[tuple[int, int]]:
-    """Pairs of tool calls in three rounds: equal ids, equal parameters, parameters missing on a side; the name always equal."""
-    rounds = (lambda x, y: x.get("id") and x.get("id") == y.get("id"), lambda x, y: params_text(x) is not None and params_text(x) == params_text(y), lambda x, y: params_text(x) is None or params_text(y) is None)
-    left, right, out = list(range(len(a))), list(range(len(b))), []
-    for fits in rounds:
-        for i in list(left):
-            j = next((j for j in right if a[i]["name"] == b[j]["name"] and fits(a[i], b[j])), None)
-            if j is not None:
-                left.remove(i)
-                right.remove(j)
-                out.append((i, j))
-    return out
+    """Pairs of calls of one name: those of equal ids before those of equal parameters, and these before those where a side has no parameters."""
+    free, out = dict.fromkeys(range(len(b))), {}
+
+    def pair(tag):
+        """Pairs what has equal tags, in order; None is no tag."""
+        waiting = defaultdict(list)
+        for j in reversed(free):
+            waiting[tag(b[j])].append(j)
+        for i in range(len(a)):
+            t = tag(a[i])
+            if i not in out and t is not None and waiting[t]:
+                out[i] = waiting[t].pop()
+                del free[out[i]]
+
+    pair(lambda t: (t["name"], t["id"]) if t.get("id") else None)
+    pair(lambda t: (t["name"], params_text(t)) if t.get("params") is not None else None)
+    for i in range(len(a)):
+        if i not in out:
+            open_ = a[i].get("params") is None
+            hit = next((j for j in free if b[j]["name"] == a[i]["name"] and (open_ or b[j].get("params") is None)), None)
+            if hit is not None:
+                out[i] = hit
+                del free[hit]
+    return sorted(out.items())
+
+
+#: What a call takes from its partner whatever their states; a result and an error only where these agree.
+ALWAYS, SAME_STATE = ("files", "params"), ("result", "error")
+
+
+def merge_calls(c: dict, s: dict, preferred: str) -> dict:
+    main, other = (c, s) if preferred == "composer" else (s, c)
+    lent = ALWAYS + (SAME_STATE if main.get("status") == other.get("status") else ())
+    call = {k: other[k] for k in lent if k in other} | {k: v for k, v in main.items() if k != "id"}
+    own = c.get("id") or s.get("id")
+    return call | {"id": own} if own else call
 
 
 def merge_tools(composer: list[dict], store: list[dict], preferred: str) -> list[dict]:
-    """The composer's calls in their order, filled from their partners, then the store's unpaired ones. Result and error are filled only where the states agree."""
+    """The composer's calls in their order, filled from their partners, then the store's that have none."""
     partner = dict(pair_tools(composer, store))
-    out = []
-    for i, c in enumerate(composer):
-        s = store[partner[i]] if i in partner else {}
-        first, second = (c, s) if preferred == "composer" or not s else (s, c)
-        fill = {k: v for k, v in second.items() if k in ("files", "params") or k in ("result", "error") and first.get("status") == second.get("status")}
-        call = {**fill, **first}
-        call.pop("id", None)
-        if c.get("id") or s.get("id"):
-            call["id"] = c.get("id") or s.get("id")
-        out.append(call)
-    return out + [dict(s) for j, s in enumerate(store) if j not in partner.values()]
+    rest = [dict(store[j]) for j in range(len(store)) if j not in set(partner.values())]
+    return [merge_calls(c, store[partner[i]], preferred) if i in partner else dict(c) for i, c in enumerate(composer)] + rest
+
+
+def joined_attachments(c: str | None, s: str | None, preferred: str) -> str | None:
+    """One content with the attachments of both, the composer's first, each once; None if there are none or the contents don't belong together."""
+    texts = {"composer": c or "", "store": s or ""}
+    base = {k: _ATTACHED.sub("", v) for k, v in texts.items()}
+    coded = {k: _ATTACHED.findall(v) for k, v in texts.items()}
+    if not any(coded.values()):
+        return None
+    alike = plain(base["composer"]) and plain(base["composer"]) == plain(base["store"])
+    if not alike and not set(coded["composer"]) & set(coded["store"]) and "empty" not in map(content_class, texts.values()):
+        return None
+    other = "store" if preferred == "composer" else "composer"
+    kept = base[preferred] if plain(base[preferred]) and content_class(texts[preferred]) == "real" else base[other]
+    blocks = [f"```{ATTACHMENT}\n{x}\n```" for x in dict.fromkeys(coded["composer"] + coded["store"])]
+    return "\n".join([kept] * bool(kept) + blocks)
 
 
 def merge_pair(c: dict, s: dict, preferred: str = "composer") -> dict:
     """One message of a composer's and a store's: the preferred side's values, filled from the other; identity and time the composer's first."""
     main, other = (c, s) if preferred == "composer" else (s, c)
-    out = {**{k: v for k, v in other.items() if v not in (None, [], "")}, **{k: v for k, v in main.items() if v not in (None, [], "")}}
-    out["id"], out["source"] = c.get("id"), "both"
-    swap = content_class(main.get("content")) != "real" or is_tool_mark(main) and not is_tool_mark(other)
-    out["content"] = other.get("content") if swap and content_class(other.get("content")) == "real" else main.get("content")
+    said = lambda m: {k: v for k, v in m.items() if v not in (None, [], "") and k not in ("ms", "ms_source", "tools", "content")}
+    out = said(other) | said(main) | {"id": c.get("id"), "source": "both"}
+    weak = content_class(main.get("content")) != "real" or is_tool_mark(main) and not is_tool_mark(other)
+    content = other.get("content") if weak and content_class(other.get("content")) == "real" else main.get("content")
+    out["content"] = joined_attachments(c.get("content"), s.get("content"), preferred) or content
     tools = merge_tools(c.get("tools") or [], s.get("tools") or [], preferred)
-    out.pop("tools", None)
-    if tools:
-        out["tools"] = tools
     timed = c if c.get("ms") is not None else s
-    for k in ("ms", "ms_source"):
-        out.pop(k, None)
-        if timed.get(k) is not None:
-            out[k] = timed[k]
-    return out
+    return out | ({"tools": tools} if tools else {}) | {k: timed[k] for k in ("ms", "ms_source") if timed.get(k) is not None}
 
 
 def merge_conversation(composer: list[dict], store: list[dict], preferred: str = "composer") -> list[dict]:
-    out = []
-    for i, j in align(composer, store, message_key, messages_fit):
-        out.append(merge_pair(composer[i], store[j], preferred) if i is not None and j is not None else {**(composer[i] if i is not None else store[j]), "source": "composer" if i is not None else "store"})
-    return out
+    def finder(i, j, end):
+        return next((n for n in range(j, end) if messages_fit(composer[i], store[n])), None)
+
+    one = lambda i, j: merge_pair(composer[i], store[j], preferred) if i is not None and j is not None else composer[i] | {"source": "composer"} if i is not None else store[j] | {"source": "store"}
+    return [one(i, j) for i, j in align(composer, store, message_key, finder)]
 
 
 # DataFrames --------------------------------------------------------------------------------------------------------
@@ -285,8 +336,23 @@ def align_stacks(rows: DataFrame) -> DataFrame:
     """
     columns = ["session_id", "msg_id", "stack", "role", "key", "class"]
     types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
-    key = lambda x, side, i: (x[1], x[2]) if x[3] == "real" else ("weak", side, i)
-    fits = lambda x, y: x[1] == y[1] and (x[3] == y[3] if "corrupt" in (x[3], y[3]) else x[2] == y[2] if x[3] == y[3] == "real" else True)
+    key = lambda x: (x[1], x[2]) if x[3] == "real" else None
+
+    def finder_of(left, right) -> Finder:
+        """By the places of each role, class and key, so a gap costs no more than its rows."""
+        places = defaultdict(list)
+        for n, (_, role, k, class_) in enumerate(right):
+            places[role, class_].append(n)
+            if class_ == "real":
+                places[role, class_, k].append(n)
+
+        def finder(i, j, end):
+            _, role, k, class_ = left[i]
+            wanted = {"real": ((role, "real", k), (role, "empty")), "empty": ((role, "real"), (role, "empty")), "corrupt": ((role, "corrupt"),)}[class_]
+            hits = [own[at] for own in (places.get(w, ()) for w in wanted) if (at := bisect_left(own, j)) < len(own)]
+            return min(hits) if hits and min(hits) < end else None
+
+        return finder
 
     def sessions(batches):
         """session_id and both sides, rows of (msg_id, role, key, class)."""
@@ -311,7 +377,7 @@ def align_stacks(rows: DataFrame) -> DataFrame:
             return batch
 
         for session, sides in sessions(batches):
-            for n, (i, j) in enumerate(align(*sides, key, fits)):
+            for n, (i, j) in enumerate(align(*sides, key, finder_of(*sides))):
                 row = (session, n + 1, sides[0][i][0] if i is not None else None, sides[1][j][0] if j is not None else None, "both" if i is not None and j is not None else "composer" if i is not None else "store")
                 for c, v in zip(out, row):
                     c.append(v)
@@ -359,7 +425,7 @@ def q33_last_result(spark, d):
 
 
 def q34_range_join(spark, d):
-    from convoloom.operators.timeline import metadata_times, timed_messages
+    from convoloom.operators.timeline import metadata_times
 
     got = within_spans(timed_messages(spark, d).where("ms is not null"), metadata_times(spark, d), "session_id", "ms", "meta_created", "meta_updated")
     return got.select("session_id", "msg_id", "ms")
@@ -380,7 +446,35 @@ def q45_lcs_align(spark, d):
     return align_stacks(hashed_messages(m.withColumn("content", F.lit("x")), F.col("msg_id"))).where("source = 'both'").select("session_id", F.col("composer_msg").alias("msg_id"))
 
 
-def q46_merged_sessions(spark, d):
-    m = messages(spark, d)
-    return align_stacks(hashed_messages(m, text.normalize_text(text.unwrap_query(F.coalesce("content", F.lit(""))))))
+def match_text(content: Column) -> Column:
+    """matched as a column: the text without attachments, or, if that is blank, the whole."""
+    whole = F.coalesce(content, F.lit(""))
+    base = text.normalize_text(text.unwrap_query(without_attachments(whole)))
+    return F.when(base != "", base).otherwise(text.normalize_text(text.unwrap_query(whole)))
+
 
+def merged_messages(m: DataFrame, timed: DataFrame) -> DataFrame:
+    """ALIGNED with the merged message of each place: role, message_key, content, model, ms, ms_source.
+
+    m has session_id, msg_id, stack, role, content, message_key and model; timed has msg_id, ms and source. The composer
+    is the backbone: key, model and time are its own if it has them, its content gives way where it is empty or damaged
+    and the store's isn't, and attachments of both stay, the composer's first. Texts are joined by id, so a session of
+    any size is spread over tasks; null contents stay null, rows of other stacks or without session aren't there.
+    """
+    aligned = align_stacks(hashed_messages(m, match_text(F.col("content"))))
+    rows = m.join(timed.select("msg_id", "ms", F.col("source").alias("ms_source")), "msg_id", "left")
+    side = lambda name: rows.select(F.col("msg_id").alias(f"{name}_msg"), F.struct("role", F.when(F.col("message_key") != "", F.col("message_key")).alias("message_key"), "content", "model", "ms", "ms_source", text.content_class(F.col("content")).alias("class")).alias(name))
+    got = aligned.join(side("composer"), "composer_msg", "left").join(side("store"), "store_msg", "left")
+    c, s = F.col("composer"), F.col("store")
+    plainly = F.when((c["class"] != "real") & (s["class"] == "real") | c.isNull(), s["content"]).otherwise(c["content"])
+    coded = lambda x: F.regexp_extract_all(F.coalesce(x["content"], F.lit("")), F.lit(rf"(?m)^```{ATTACHMENT}\n([A-Za-z0-9+/=]+)\n```$"), F.lit(1))
+    lost = F.filter(coded(s), lambda k: ~F.array_contains(coded(c), k))
+    more = F.concat_ws("\n", without_attachments(plainly), *[F.when(F.size(x) > 0, F.array_join(F.transform(x, lambda k: F.concat(F.lit(f"```{ATTACHMENT}\n"), k, F.lit("\n```"))), "\n")) for x in (coded(c), lost)])
+    content = F.when((F.col("source") == "both") & (F.size(lost) > 0), more).otherwise(plainly)
+    timed_by = F.when(c["ms"].isNotNull(), c).otherwise(s)
+    first = lambda f: F.coalesce(c[f], s[f]).alias(f)
+    return got.select("session_id", "pos", "composer_msg", "store_msg", "source", first("role"), first("message_key"), content.alias("content"), first("model"), timed_by["ms"].alias("ms"), timed_by["ms_source"].alias("ms_source"))
+
+
+def q46_merged_sessions(spark, d):
+    return merged_messages(messages(spark, d), timed_messages(spark, d))

@@ -44,7 +44,7 @@ def test_large_inputs_keep_order(monkeypatch):
         a, b = ([rng.randrange(80) for _ in range(rng.randrange(60))] for _ in range(2))
         got = m.anchored_pairs(a, b)
         assert all(a[i] == b[j] for i, j in got) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:]))
-        union = m.align(a, b, lambda x, s, i: x, lambda x, y: abs(x - y) < 5)
+        union = m.align(a, b, lambda x: x, lambda i, j, end: next((n for n in range(j, end) if abs(a[i] - b[n]) < 5), None))
         assert [i for i, _ in union if i is not None] == list(range(len(a))) and [j for _, j in union if j is not None] == list(range(len(b)))
 
 
@@ -101,3 +101,63 @@ def test_long_sessions_on_frames(spark):
     ends = spark.createDataFrame([("s", 0, "composer", "user", 8, "real"), ("s", n + 1, "store", "user", 8, "real"), (None, 1, "both", "user", 1, "real")], "session_id string, msg_id bigint, stack string, role string, key bigint, class string")
     got = {(r["session_id"], r["source"]): r["count"] for r in m.align_stacks(rows.union(ends)).groupBy("session_id", "source").count().collect()}
     assert got == {("s", "both"): n, ("s", "composer"): 1, ("s", "store"): 1, (None, "both"): 1}
+
+
+def test_marks_are_those_of_own_calls():
+    call = {"name": "read_file"}
+    assert m.is_tool_mark({"content": " [Tool: read_file]\nFile: x", "tools": [call]})
+    assert not m.is_tool_mark({"content": "[Tool: other thing]", "tools": [call]}) and not m.is_tool_mark({"content": "[Tool: read_file]"})
+
+
+def test_attachments_of_both_sides():
+    block = lambda x: f"```{m.ATTACHMENT}\n{x}\n```"
+    c, s = {"id": "c", "role": "user", "content": "see\n" + block("QUE=")}, {"role": "user", "content": "see\n" + block("QkI=") + "\n" + block("QUE=")}
+    assert [x["content"] for x in m.merge_conversation([c], [s])] == ["see\n" + block("QUE=") + "\n" + block("QkI=")]
+    only = {"role": "user", "content": block("QUE=")}
+    assert m.message_key(only) == ("user", ("QUE=",), ()) and m.message_key({"role": "user", "content": ""}) is None
+    assert m.joined_attachments("other", "text\n" + block("QUE="), "composer") is None
+
+
+def test_tools_pair_in_three_rounds_against_a_scan():
+    rng = random.Random(3)
+    tool = lambda: {"name": rng.choice("xy"), **({"id": rng.choice("12")} if rng.random() < 0.4 else {}), **({"params": {"p": rng.randrange(2)}} if rng.random() < 0.6 else {})}
+    tests = (lambda x, y: x.get("id") and x.get("id") == y.get("id"), lambda x, y: "params" in x and x.get("params") == y.get("params"), lambda x, y: "params" not in x or "params" not in y)
+    for _ in range(300):
+        a, b = ([tool() for _ in range(rng.randrange(6))] for _ in range(2))
+        want, used = {}, set()
+        for fits in tests:
+            for i, x in enumerate(a):
+                for j, y in enumerate(b):
+                    if i not in want and j not in used and x["name"] == y["name"] and fits(x, y):
+                        want[i] = j
+                        used.add(j)
+        assert m.pair_tools(a, b) == sorted(want.items())
+
+
+def test_merged_sessions_against_python(spark, sf):
+    """Every session of the archive, merged message by message in Python, from planted pairs too."""
+    from collections import defaultdict
+
+    from convoloom.operators.messages import messages
+    from convoloom.operators.timeline import timed_messages
+    from pyspark.sql import functions as F
+
+    rows = messages(spark, sf).select("session_id", "msg_id", "stack", "role", "content", "message_key", "model")
+    block = f"```{m.ATTACHMENT}\n%s\n```"
+    planted = [("p", 1, "composer", "user", "look\n" + block % "QUE=", "k1", None), ("p", 2, "store", "user", "<user_query>look</user_query>\n" + block % "QkI=", None, "m1"), ("p", 3, "composer", "assistant", "[empty message]", "k3", "m2"), ("p", 4, "store", "assistant", "done", None, "m3"), ("p", 5, "store", "user", "[corrupted message]", None, None), ("p", 6, "composer", "user", "[corrupted message]", "k6", None), ("p", 7, "store", "user", None, "", "m7")]
+    rows = rows.unionByName(spark.createDataFrame([(k, 10**12 + i, *r) for k, i, *r in planted], rows.schema))
+    timed = timed_messages(spark, sf)
+    times = {r["msg_id"]: (r["ms"], r["source"]) for r in timed.where("ms is not null").collect()}
+    sides = defaultdict(lambda: ([], []))
+    for r in rows.orderBy("msg_id").collect():
+        ms, source = times.get(r["msg_id"], (None, None))
+        d = {"msg": r["msg_id"], "role": r["role"], "content": r["content"], "message_key": r["message_key"], "model": r["model"], "ms": ms, "ms_source": source}
+        for side, name in zip(sides[r["session_id"]], ("composer", "store")):
+            if r["stack"] in (name, "both"):
+                side.append({**d, f"{name}_msg": r["msg_id"]})
+    want = set()
+    for session, (c, s) in sides.items():
+        for n, x in enumerate(m.merge_conversation(c, s)):
+            want.add((session, n + 1, x.get("composer_msg"), x.get("store_msg"), x["source"], x["role"], x.get("message_key") or None, x["content"], x.get("model"), x.get("ms"), x.get("ms_source")))
+    got = [tuple(r) for r in m.merged_messages(rows, timed).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
