@@ -14,14 +14,19 @@ from pyspark.sql import functions as F
 from convoloom.config import Options, ReadLimits
 from convoloom.functions import paths, text
 from convoloom.operators import export, listing, search, snapshots
+from convoloom.operators.merge import merged_messages
 from convoloom.operators.messages import composer_ids, filter_types, message_type, messages, session_heads
 from convoloom.operators.replicas import ambiguous_rows, instances, memberships, replica_groups
+from convoloom.operators.timeline import timed_messages
 from convoloom.operators.usage import message_usage, session_usage
 from convoloom.operators.workspaces import resolve_scope, rollup
-from convoloom.session import table
+from convoloom.session import SNAPSHOTS, table
 from convoloom.sources.archive import read_backups
 
 
+TABLES = ("workspaces", "sessions", "messages", "store_meta", "transcript_lines")
+
+
 class SessionNotFound(KeyError):
     """No session has this id or index."""
 
@@ -77,33 +82,48 @@ class Archive:
 
     def resolve(self, identifier: str | int) -> str:
         """The id of a session given by id or by its 0-based index; digits alone are an index."""
-        cat = self.catalog()
         if isinstance(identifier, int) or re.fullmatch(r"\d+", identifier):
-            row = cat.where(F.col("index") == int(identifier) + 1).first()
+            row = self.catalog().where(F.col("index") == int(identifier) + 1).first()
         else:
-            row = cat.where(F.col("session_id") == identifier).first()
+            row = self._row(identifier)
         if row is None:
             raise SessionNotFound(str(identifier))
         if row["state"] == "ambiguous":
             raise SessionAmbiguous(row["session_id"])
         return row["session_id"]
 
+    def _row(self, sid: str):
+        """session_id and state of one session in scope, or None; only its own rows are looked at."""
+        row = self._in_scope(listing.catalog(self.spark, self.path).where(F.col("session_id") == sid)).first()
+        copies = instances(self.spark, self.path).where(F.col("id") == sid)
+        unsure = row is not None and ambiguous_rows(copies, replica_groups(copies)).first() is not None
+        return row and {"session_id": sid, "state": "ambiguous" if unsure else "resolved"}
+
     def get_session(self, identifier: str | int) -> DataFrame:
-        """The messages of a session in order, with type, identity, times and code blocks; options may limit the types."""
+        """The messages of a session in order, both recordings merged, with type, identity, times and code blocks; options may limit the types.
+
+        What both recordings hold is one row (source both) under the composer's msg_id, with the content, key and model
+        of merged_messages; rows of neither recording stay, at the end.
+        """
         sid = self.resolve(identifier)
-        rows = export.export_messages(self.spark, self.path).where(F.col("session_id") == sid)
-        ids = composer_ids(messages(self.spark, self.path).where(F.col("session_id") == sid))
-        got = rows.join(ids, "msg_id").withColumns({"type": message_type(F.col("role"), F.col("content"), F.lit(0)), "code_blocks": text.code_blocks(F.col("content"))})
-        return filter_types(got, list(self.options.message_types)).orderBy("msg_id")
+        own = lambda df: df.where(F.col("session_id") == sid)
+        m = own(messages(self.spark, self.path))
+        merged = merged_messages(m, own(timed_messages(self.spark, self.path)))
+        merged = merged.select(F.coalesce("composer_msg", "store_msg").alias("msg_id"), "pos", "source", "composer_msg", "store_msg", F.coalesce("content", F.lit("")).alias("merged"), "model")
+        inside = merged.where("composer_msg <> store_msg").select(F.col("store_msg").alias("msg_id"))
+        rows = export.export_messages(self.spark, self.path, sid).join(inside, "msg_id", "left_anti").join(merged, "msg_id", "left")
+        got = rows.withColumn("content", F.coalesce("merged", "content")).drop("merged").join(composer_ids(m), "msg_id")
+        got = got.withColumns({"type": message_type(F.col("role"), F.col("content"), F.lit(0)), "code_blocks": text.code_blocks(F.col("content"))})
+        return filter_types(got, list(self.options.message_types)).orderBy(F.asc_nulls_last("pos"), "msg_id")
 
     def session_usage(self) -> DataFrame:
         return self._in_scope(session_usage(message_usage(messages(self.spark, self.path))))
 
-    def search(self, query: str) -> DataFrame:
-        """Messages that hold the query, best sessions first, with the line of the first match and options.context lines around it."""
+    def search(self, query: str, characters: int | None = None) -> DataFrame:
+        """Messages that hold the query, best sessions first, with the line of the first match and options.context lines around it; snippets reach as many characters to both sides, by default 80 for each line."""
         k, m = self.options.context, self._in_scope(messages(self.spark, self.path))
         found = search.matches(m, query)
-        snips = search.snippets(found, query, k * 80)
+        snips = search.snippets(found, query, k * 80 if characters is None else characters)
         ranked = search.rank_sessions(snips, listing.catalog(self.spark, self.path), self.options.limit)
         lines = found.select("msg_id", text.line_context(F.col("content"), F.get("positions", F.lit(0)), k).alias("line"))
         return snips.join(ranked.select("session_id", "match_count", "created_ms"), "session_id").join(lines, "msg_id").orderBy(F.desc("match_count"), F.desc("created_ms"), "session_id", "msg_id")
@@ -122,6 +142,7 @@ class Archive:
         self._export(export.markdown(export.export_heads(self.spark, self.path), export.export_messages(self.spark, self.path)), target, identifier, "block")
 
     def _export(self, blocks: DataFrame, target: str, identifier, column: str) -> None:
+        """Filters go down to the tables, so one session is picked before its texts are made."""
         if identifier is not None:
             blocks = blocks.where(F.col("session_id") == self.resolve(identifier))
         else:
@@ -136,9 +157,29 @@ class Archive:
             return plan
         return snapshots.migrate(table(self.spark, self.path, "sessions"), plan.select("id").distinct(), "workspace", source, target, copy)
 
+    def migrate_sessions(self, ids: list[str], target: str, dry_run: bool = True, copy: bool = False, expected: str | None = None) -> tuple[DataFrame, str]:
+        """(what would move, or without dry_run the new version of the table of sessions; the state it rests on). All ids move or none. With expected, the state an earlier call gave, sessions that changed since refuse the request."""
+        rows = instances(self.spark, self.path)
+        plan = snapshots.bind_sessions(rows, ids, target)
+        state = snapshots.state_of(rows, plan)
+        if expected is not None and expected != state:
+            raise snapshots.MigrationRefused(f"the sessions changed: {expected} is now {state}")
+        if dry_run:
+            return plan, state
+        return snapshots.migrate(table(self.spark, self.path, "sessions"), plan.select("id"), "workspace", None, target.rstrip("/"), copy), state
+
     def backup(self, target: str, overwrite: bool = False) -> list[dict]:
         """Every table as a snapshot with a manifest."""
-        return [snapshots.publish(table(self.spark, self.path, t), f"{target}/{t}", overwrite) for t in ("workspaces", "sessions", "messages", "store_meta", "transcript_lines")]
+        return [snapshots.publish(table(self.spark, self.path, t), f"{target}/{t}", overwrite) for t in TABLES]
+
+
+def open_backup(spark: SparkSession, path: str, options: Options | None = None) -> Archive:
+    """An archive read out of what Archive.backup wrote; a snapshot with missing or damaged files isn't opened."""
+    for t in TABLES:
+        status = validate_backup(spark, path, t).first()["status"]
+        if status != "valid":
+            raise snapshots.SnapshotInvalid(f"{path}/{t}: {status}")
+    return Archive(spark, SNAPSHOTS + path, options or Options())
 
 
 def validate_backup(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -150,6 +191,8 @@ def restore_backup(spark: SparkSession, path: str, name: str, target: str) -> Da
 
 
 def list_backups(spark: SparkSession, path: str) -> DataFrame:
-    """archive, files, size, status of the ZIP backups below path, by name."""
+    """archive, modified, files, size, status of the ZIP backups below path, newest first, of equal times by name."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(path)
+    when = files.select(F.regexp_replace("path", "^file:/+", "/").alias("archive"), F.col("modificationTime").alias("modified"))
     states = read_backups(spark, path).groupBy("archive").agg(F.count("*").alias("files"), F.sum("size").alias("size"), F.count_if(F.col("state") == "missing").alias("m"), F.count_if(F.col("state") == "corrupt").alias("c"), F.count_if(F.col("state") == "valid").alias("v"))
-    return states.select("archive", "files", "size", F.when((F.col("m") > 0) | (F.col("v") == 0), "invalid").when(F.col("c") > 0, "warnings").otherwise("valid").alias("status")).orderBy("archive")
+    return states.join(when, "archive", "left").select("archive", "modified", "files", "size", F.when((F.col("m") > 0) | (F.col("v") == 0), "invalid").when(F.col("c") > 0, "warnings").otherwise("valid").alias("status")).orderBy(F.desc_nulls_last("modified"), "archive")

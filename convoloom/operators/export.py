@@ -28,11 +28,12 @@ def source_line(resolved: Column, sources: Column, preferred: Column, state: Col
     return F.when(resolved == "merged", merged).when(resolved == "store-db", db).when(resolved == "store-transcript", transcript).when(resolved == "store-metadata", F.lit("Store stack (metadata only)"))
 
 
-def export_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """session_id, msg_id, role, content, id, resolved_ms, resolved_source of all messages."""
+def export_messages(spark: SparkSession, sf_dir: str, session: str | None = None) -> DataFrame:
+    """session_id, msg_id, role, content, message_key, resolved_ms, resolved_source of all messages, or of one session's, which is picked before anything is sorted."""
+    own = lambda df: df if session is None else df.where(F.col("session_id") == session)
     anchors = metadata_times(spark, sf_dir).select("session_id", "meta_created")
-    timed = fill_times(timed_messages(spark, sf_dir).join(anchors, "session_id", "left"), "session_id", ["msg_id"], "ms", "source", F.col("meta_created"))
-    m = messages(spark, sf_dir).select("session_id", "msg_id", "role", "message_key", F.coalesce("content", F.lit("")).alias("content"))
+    timed = fill_times(own(timed_messages(spark, sf_dir)).join(anchors, "session_id", "left"), "session_id", ["msg_id"], "ms", "source", F.col("meta_created"))
+    m = own(messages(spark, sf_dir)).select("session_id", "msg_id", "role", "message_key", F.coalesce("content", F.lit("")).alias("content"))
     return m.join(timed.select("msg_id", "resolved_ms", "resolved_source"), "msg_id")
 
 

@@ -96,6 +96,10 @@ def q01_session_summary(spark, d):
     return session_heads(messages(spark, d))
 
 
+def q09_derive_title(spark, d):
+    return session_heads(messages(spark, d)).select("session_id", "title")
+
+
 def q05_message_type(spark, d):
     return typed(messages(spark, d)).groupBy("type").agg(F.count("*").alias("n"))
 

@@ -117,10 +117,33 @@ def migrate_preview(rows: DataFrame, source: str, target: str) -> DataFrame:
     return rows.join(ok, "id").where("workspace is not null").select("id", "workspace", moved.alias("moved")).where("moved is not null").distinct()
 
 
-def migrate(df: DataFrame, ids: DataFrame, column: str, source: str, target: str, copy: bool = False) -> DataFrame:
-    """A new version of a table of sessions: rows of the given ids move below target, or are copied there under ids of their own (a hash of the old id and the target, so a repeat gives the same)."""
+class MigrationRefused(ValueError):
+    """Sessions that can't be moved, or that changed since they were looked at."""
+
+
+def bind_sessions(rows: DataFrame, ids: list[str], target: str) -> DataFrame:
+    """id, workspace, moved of the given sessions, all of them or none: eligibility is decided over the whole catalog, and unknown or ineligible ones, and those that are below the target already, refuse the whole request."""
+    wanted = rows.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(ids)], "id string")
+    got = wanted.join(eligibility(rows), "id", "left").join(rows.groupBy("id").agg(F.min("workspace").alias("workspace")), "id", "left")
+    there = F.col("workspace").startswith(target.rstrip("/") + "/") | (F.col("workspace") == target.rstrip("/"))
+    why = F.when(F.col("eligibility").isNull(), "unknown").when(F.col("eligibility") != "eligible", F.col("eligibility")).when(there, "already there")
+    bad = got.withColumn("why", why).where("why is not null").select("id", "why").orderBy("id").limit(10).collect()
+    if bad:
+        raise MigrationRefused(json.dumps([r.asDict() for r in bad]))
+    return got.select("id", "workspace", F.lit(target.rstrip("/")).alias("moved"))
+
+
+def state_of(rows: DataFrame, ids: DataFrame) -> str:
+    """A fingerprint of all copies of the given sessions, by which a later write can tell that nothing changed meanwhile."""
+    h = F.xxhash64("id", "session_row_id", "workspace", "fingerprint")
+    r = rows.join(ids.select("id"), "id", "left_semi").agg(F.sum(F.pmod(h, F.lit(2147483647))).alias("a"), F.sum(F.pmod(h, F.lit(2147483629))).alias("b"), F.count("*").alias("n")).first()
+    return f"{r['a'] or 0}-{r['b'] or 0}-{r['n']}"
+
+
+def migrate(df: DataFrame, ids: DataFrame, column: str, source: str | None, target: str, copy: bool = False) -> DataFrame:
+    """A new version of a table of sessions: rows of the given ids move from below source to below target, or, without source, to target itself, or are copied there under ids of their own (a hash of the old id and the target, so a repeat gives the same)."""
     mark = df.join(ids.select("id").withColumn("__m", F.lit(True)), "id", "left")
-    moved = F.coalesce(paths.rebase(F.col(column), F.lit(source), F.lit(target)), F.col(column))
+    moved = F.lit(target) if source is None else F.coalesce(paths.rebase(F.col(column), F.lit(source), F.lit(target)), F.col(column))
     if not copy:
         return mark.withColumn(column, F.when(F.col("__m"), moved).otherwise(F.col(column))).drop("__m").select(*df.columns)
     fresh = paths.dashed_uuid(F.md5(F.concat_ws("\x01", F.col("id"), F.lit(target))))

@@ -47,3 +47,4 @@ SQL = {
  k AS (SELECT m.session_id, msg_id FROM m SEMI JOIN (SELECT * FROM l WHERE message_key <> '') l USING (session_id, message_key)) SELECT session_id, msg_id, lag(msg_id) OVER (PARTITION BY session_id ORDER BY msg_id) AS parent_id FROM k""",
     "q65_search_utf16": f"WITH {M}, {FOUND}, p AS (SELECT msg_id, content, unnest(positions) AS p FROM f), u AS (SELECT msg_id, p + len(regexp_replace(substring(content, 1, CAST(p AS INT)), '[^\\x{{10000}}-\\x{{10ffff}}]', '', 'g')) AS start FROM p) SELECT msg_id, CAST(start AS INT) AS start, CAST(start + {len(Q)} AS INT) AS \"end\" FROM u",
 }
+SQL["q09_derive_title"] = f"SELECT session_id, title FROM ({SQL['q01_session_summary']})"

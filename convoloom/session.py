@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -28,6 +29,8 @@ def build_session(master: str = "local[8]", app: str = "convoloom", **conf) -> S
     return builder.getOrCreate()
 
 
+#: What the path of an archive begins with that is read out of a backup.
+SNAPSHOTS = "snapshots:"
 _shipped: set[str] = set()
 
 
@@ -46,14 +49,19 @@ def ship(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of an archive, or of a folder of snapshots if sf_dir begins with SNAPSHOTS."""
     ship(spark)
+    if sf_dir.startswith(SNAPSHOTS):
+        return spark.read.parquet(f"{sf_dir.removeprefix(SNAPSHOTS)}/{name}/data")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or, only where that is unset, a temporary one of this process."""
+    """The folder all executors share: spark.checkpoint.dir, or, only where that is unset and Spark runs in this one process, a temporary one. On a cluster without the setting it refuses: executors would write to disks of their own."""
     there = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         there = tempfile.mkdtemp(prefix="convoloom-")
         atexit.register(shutil.rmtree, there, ignore_errors=True)
     if not spark.sparkContext.getCheckpointDir():

@@ -1,8 +1,12 @@
+import os
+
 import pytest
+from pyspark.sql import functions as F
 
 from convoloom import api
 from convoloom.__main__ import parser
 from convoloom.config import ConfigError, Options, ReadLimits, parse_limits
+from convoloom.operators.snapshots import SnapshotInvalid
 from convoloom.sources.archive import write_backup
 
 
@@ -62,8 +66,17 @@ def test_export_backup_restore(archive, tmp_path):
     facts = archive.backup(str(tmp_path / "b"))
     assert len(facts) == 5 and api.validate_backup(archive.spark, str(tmp_path / "b"), "messages").first()["status"] == "valid"
     assert api.restore_backup(archive.spark, str(tmp_path / "b"), "workspaces", str(tmp_path / "w")).count() == 240
-    write_backup(str(tmp_path / "x.zip"), {"a": ("t", b"1")})
-    assert [r["status"] for r in api.list_backups(archive.spark, str(tmp_path)).collect()] == ["valid"]
+    for n, name in enumerate("bac"):
+        write_backup(str(tmp_path / f"{name}.zip"), {"a": ("t", b"1")})
+        os.utime(tmp_path / f"{name}.zip", (10**9 + n, 10**9 + n))
+    got = api.list_backups(archive.spark, str(tmp_path)).collect()
+    assert [(r["archive"][-5:], r["status"]) for r in got] == [("c.zip", "valid"), ("a.zip", "valid"), ("b.zip", "valid")]
+    back = api.open_backup(archive.spark, str(tmp_path / "b"))
+    assert [tuple(r) for r in back.get_session(sid).collect()] == [tuple(r) for r in archive.get_session(sid).collect()] != []
+    part = next((tmp_path / "b" / "messages" / "data").glob("*.parquet"))
+    part.unlink()
+    with pytest.raises(SnapshotInvalid):
+        api.open_backup(archive.spark, str(tmp_path / "b"))
 
 
 def test_migrate(archive):
@@ -73,6 +86,36 @@ def test_migrate(archive):
     assert ids and {r["id"] for r in moved.where("workspace like '/data/srv/%'").collect()} == ids
 
 
+def test_sessions_move_together_or_not_at_all(archive):
+    from convoloom.operators.snapshots import MigrationRefused, eligibility
+
+    why = {r["id"]: r["eligibility"] for r in eligibility(api.instances(archive.spark, archive.path)).collect()}
+    good = sorted(i for i, e in why.items() if e == "eligible")[:2]
+    bad = next(i for i, e in why.items() if e not in ("eligible", "unbound"))
+    plan, state = archive.migrate_sessions(good, "/new/place/")
+    assert {r["id"]: r["moved"] for r in plan.collect()} == dict.fromkeys(good, "/new/place")
+    new, _ = archive.migrate_sessions(good, "/new/place", dry_run=False, expected=state)
+    assert {r["id"] for r in new.where("workspace = '/new/place'").collect()} == set(good)
+    for ids in ([*good, bad], [*good, "nobody"]):
+        with pytest.raises(MigrationRefused):
+            archive.migrate_sessions(ids, "/new/place")
+    with pytest.raises(MigrationRefused, match="changed"):
+        archive.migrate_sessions(good, "/new/place", dry_run=False, expected="1-1-1")
+
+
+def test_both_recordings_are_one_message(archive):
+    from convoloom.operators.messages import messages
+
+    state = {r["session_id"]: r["state"] for r in archive.catalog().collect()}
+    for r in messages(archive.spark, archive.path).groupBy("session_id").agg(F.count_distinct("stack").alias("n"), F.count("*").alias("rows")).orderBy(F.desc("n"), "session_id").collect():
+        if state.get(r["session_id"]) == "resolved":
+            got = archive.get_session(r["session_id"]).collect()
+            assert {x["source"] for x in got} & {"both", "composer", "store"} and [x["pos"] for x in got if x["pos"]] == sorted(x["pos"] for x in got if x["pos"])
+            held = {i for x in got for i in (x["msg_id"], x["composer_msg"], x["store_msg"]) if i is not None}
+            assert len(held) == r["rows"]
+            break
+
+
 def test_limits():
     assert parse_limits(["jsonlRecordBytes=1KiB", "zip_entry_count=5"]) == ReadLimits.of(jsonl_record_bytes=1024, zip_entry_count=5)
     for bad in (["x=1"], ["zipEntryCount=0"], ["zipEntryCount"], ["zipEntryCount=1", "zip_entry_count=2"], ["jsonlRecordBytes=5GiB"], ["zipEntryCount=1=2"]):
@@ -85,4 +128,6 @@ def test_limits():
 
 def test_commands():
     a = parser().parse_args(["--data-path", "x", "search", "q", "-n", "0"])
-    assert a.command == "search" and a.n == 0
+    assert a.command == "search" and a.n == 0 and a.c == 50
+    a = parser().parse_args(["--data-path", "x", "--json", "show", "3", "--tool", "--short"])
+    assert a.json and a.tool and a.short and not a.think
