@@ -2,7 +2,7 @@ import itertools
 import json
 import random
 
-from convoloom.operators.schema_drift import best_matching, canonical_names, flatten_files, flatten_json, name_likeness, schema_changes
+from convoloom.operators.schema_drift import best_matching, canonical_names, compact, flatten_files, flatten_json, name_likeness, p1_unified, schema_changes, unified_type
 from convoloom.session import settle
 
 SCHEMA = "install_id string, feed string, drop_no int, entity_id string, file_id bigint, payload string, path string, type int"
@@ -15,7 +15,7 @@ def changes(spark, files):
 
 
 def test_flatten():
-    assert flatten_json('{"a":{"b":1,"c":[{"d":2}]},"e":null,"f":1.0,"g":true,"h":"x"}') == [("a.b", "integer", "1"), ("a.c", "array", '[{"d":2}]'), ("f", "fraction", "1.0"), ("g", "boolean", "true"), ("h", "string", '"x"')]
+    assert [(p, t, compact(v)) for p, t, v in flatten_json('{"a":{"b":1,"c":[{"d":2}]},"e":null,"f":1.0,"g":true,"h":"x"}')] == [("a.b", "integer", "1"), ("a.c", "array", '[{"d":2}]'), ("f", "fraction", "1.0"), ("g", "boolean", "true"), ("h", "string", '"x"')]
     assert flatten_json("[1]") is None and flatten_json('{"a":1') is None and flatten_json(None) is None and flatten_json('{"a":NaN}') is None and flatten_json("{}") == []
 
 
@@ -59,6 +59,28 @@ def test_names_follow_renames(spark):
     assert got == {(1, "x"): "x", (2, "y"): "x", (3, "z"): "x", (3, "w"): "w"}
 
 
+def test_sketches_never_lose_a_rename(spark):
+    """One entity of ten thousand has both paths, which sketches in estimation mode mostly miss."""
+    n = 10_000
+    files = [("i", "f", 1, f"a{k}", {"old": k}) for k in range(n)] + [("i", "f", 2, f"b{k}", {"new": k}) for k in range(n)] + [("i", "f", 1, "both", {"old": -1}), ("i", "f", 2, "both", {"new": -1})]
+    assert changes(spark, files)[0] == [("i", "f", 2, "old", "renamed", "new")]
+
+
+def test_one_type_for_a_field(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(["integer"],), (["fraction", "integer"],), (["array", "string"],), (["boolean"],), (["boolean", "integer"],)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t array<string>").select(unified_type(F.col("t"))).collect()]
+    assert got == ["integer", "number", "string", "boolean", "string"]
+
+
+def test_unified_table(spark, sf):
+    got = p1_unified(spark, sf).cache()
+    assert got.groupBy("feed", "field").agg({"field_type": "count"}).count() == got.select("feed", "field", "field_type").distinct().count()
+    bad = got.where("(field_type in ('integer', 'fraction', 'number')) <> (value_number is not null) or (field_type = 'boolean') <> (value_boolean is not null) or value_text is null")
+    assert got.count() > 0 and bad.count() == 0
+
+
 def test_empty(spark):
     assert changes(spark, [])[0] == []
 
