@@ -68,8 +68,6 @@ CUES = {
 CUES = {k: (re.compile(a[:-1] + r"\Z"), re.compile(b), re.compile(c[:-1] + r"\Z")) for k, (a, b, c) in CUES.items()}
 #: What follows names of products and places.
 PRODUCT = re.compile(r"(?: [A-Z][\w\-]+)? (?:owns that|upgrade|channel|view is|import\.|release|module|service|parser|gateway|queue|cache|store|index|sync|mode|runner|metrics|api|sdk|library|framework|board)\b")
-#: Words above this many letters are no names.
-LONGEST_NAME = 60
 TAIL = re.compile(r" [^\W\d_]\.(?![^\W\d_])")
 REMOTE = re.compile(r":[\w.~\-]*/")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?(?:-[^\W\d_]+(?:['’][^\W\d_]+)?)*")
@@ -94,21 +92,25 @@ class Gazetteer:
     def __init__(self, people: list[tuple[str | None, str | None]]):
         self.given = {g.lower() for g, _ in people if g}
         self.family = {re.sub(r"^o['’]", "", w) for _, f in people if f for w in re.split(r"[\s\-]+", f.lower()) if len(w) > 3}
+        self.short = {f.lower() for _, f in people if f and len(f) <= 3}
         self.parts = [(*_branching(names, 4), least) for names, least in ((self.given, 2), (self.family, 3))]
+        self.reach = [(max(map(len, stems), default=0), max(map(len, ends), default=0)) for stems, ends, _ in self.parts]
         self.known: dict[str, tuple[int, int]] = {}
 
     def _made(self, w: str, which: int) -> bool:
-        stems, ends, least = self.parts[which]
-        return any(w[:i] in stems and w[i:] in ends and len(w) - i >= least for i in range(2, len(w) - 1))
+        """Whether a stem and an ending make the word. Only seams that the longest of both can reach are tried, so a word of any length costs the same."""
+        (stems, ends, least), (stem, end) = self.parts[which], self.reach[which]
+        return any(w[:i] in stems and w[i:] in ends and len(w) - i >= least for i in range(max(2, len(w) - end), min(len(w) - 2, stem) + 1))
 
     def look(self, word: str) -> tuple[int, int]:
         """(given, family) strength of a word, 0 for neither."""
         got = self.known.get(word)
         if got is None:
-            if len(word) > LONGEST_NAME:
-                return 0, 0
             w = word.lower()
             w = w[:-2] if w.endswith(("'s", "’s")) else w
+            if len(w) <= 3:
+                # too short for a stem and an ending; only what the roster lists
+                return (2 if w in self.given else 0), (2 if w in self.short else 0)
             given = 2 if w in self.given else int(self._made(w, 0))
             pieces = [re.sub(r"^o['’]", "", p) for p in w.split("-")]
             family = min((2 if p in self.family else int(self._made(p, 1)) for p in pieces), default=0)
@@ -130,7 +132,8 @@ def name_spans(text: str, gazetteer: Gazetteer) -> list[tuple[int, int, str, int
     hits = []
     for m in WORD.finditer(text):
         w = m.group()
-        if len(w) > 3:
+        # of words of three letters or less only capitals can be names
+        if len(w) > 3 or w[0].isupper():
             got = gazetteer.look(w)
             if got != (0, 0):
                 hits.append((m.start(), m.end(), got, w))

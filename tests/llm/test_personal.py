@@ -62,6 +62,14 @@ def test_no_names(names, text):
     assert found(text, names) == []
 
 
+def test_short_and_very_long_names():
+    short = p.Gazetteer([*PEOPLE, ("Ana", "Li"), ("Eva", "Ashdal")])
+    assert found("Ask Ana Li about", short) == [("name", "Ana Li")] and found("Ask Eva Ashdal about", short) == [("name", "Eva Ashdal")]
+    assert found("in ana li", short) == [] and found("Ask Max", short) == []
+    long = "Zel" + "ash" * 300 + "wick"
+    assert p.Gazetteer([("Abcdefghij" * 9, "Xy" * 80)]).look("Xy" * 80) == (0, 2) and short.look(long) == (0, 0)
+
+
 def test_names_inside_emails_are_none(names):
     assert found("jorbet.ashwick@x.example", names) == [("email", "jorbet.ashwick@x.example")]
 
